@@ -1,0 +1 @@
+"""Stream jobs. There are none: nothing in the agreed scope is a stream."""
