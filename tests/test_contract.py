@@ -2,23 +2,14 @@
 
 from pathlib import Path
 
-import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tests.builders import duck
 
 TESTDATA = Path("/root/testdata")
 
 
-def duck(sf_dir, sql):
-    con = duckdb.connect()
-    for file in sf_dir.glob("*.parquet"):
-        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
-    result = con.execute(sql)
-    columns = [(d[0], str(d[1])) for d in result.description]
-    return columns, sorted(result.fetchall(), key=repr)
-
-
 def duck_type(spark_type):
     # DuckDB's name for each Spark type in use.
     names = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT"}

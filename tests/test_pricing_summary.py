@@ -1,0 +1,124 @@
+from collections import defaultdict
+from datetime import date, timedelta
+from decimal import Decimal
+
+from hypothesis import given, settings as hypothesis_settings
+from hypothesis import strategies as st
+
+from ledgerline.plans import pricing_summary
+from ledgerline.sources import load
+from tests.builders import at, columns_read, final_plan, table
+
+CUTOFF = date(2000, 9, 2)
+
+
+def line(flag, status, shipped, quantity, price, discount, tax):
+    return {
+        "l_returnflag": flag,
+        "l_linestatus": status,
+        "l_shipdate": at(shipped),
+        "l_quantity": quantity,
+        "l_extendedprice": price,
+        "l_discount": discount,
+        "l_tax": tax,
+    }
+
+
+def test_small_table(spark):
+    lines = table(
+        spark,
+        "lineitem",
+        [
+            line("A", "F", "2000-09-02", 2.0, 100.10, 0.10, 0.08),
+            line("A", "F", "1995-01-01", 3.0, 0.01, 0.0, 0.0),
+            line("N", "O", "2000-09-01T23:59:59", 1.0, 999.99, 0.05, 0.01),
+            line("N", "O", "2000-09-02T00:00:01", 50.0, 1.0, 0.0, 0.0),
+            line("R", "F", "2000-09-03", 50.0, 1.0, 0.0, 0.0),
+        ],
+        slices=3,
+    )
+    assert sorted(tuple(r) for r in pricing_summary(lines, CUTOFF).collect()) == [
+        (
+            "A", "F",
+            Decimal("5.00"), Decimal("100.11"), Decimal("90.1000"), Decimal("97.307200"),
+            2.5, 50.055, 0.05, 2,
+        ),
+        (
+            "N", "O",
+            Decimal("1.00"), Decimal("999.99"), Decimal("949.9905"), Decimal("959.490405"),
+            1.0, 999.99, 0.05, 1,
+        ),
+    ]
+
+
+def test_unknown_amounts_are_left_out_of_sums_and_means(spark):
+    lines = table(
+        spark,
+        "lineitem",
+        [
+            line("A", "F", "2000-01-01", 2.0, 10.0, None, 0.0),
+            line("A", "F", "2000-01-01", None, 20.0, 0.5, None),
+            line("N", "O", "2000-01-01", None, None, None, None),
+        ],
+    )
+    assert sorted(tuple(r) for r in pricing_summary(lines, CUTOFF).collect()) == [
+        ("A", "F", Decimal(2), Decimal(30), Decimal(10), None, 2.0, 15.0, 0.5, 2),
+        ("N", "O", None, None, None, None, None, None, None, 1),
+    ]
+
+
+LINES = st.lists(
+    st.tuples(
+        st.sampled_from("ANR"),
+        st.sampled_from("FO"),
+        st.integers(-3, 3),
+        st.integers(1, 50),
+        st.integers(1, 10**9),
+        st.integers(0, 10),
+        st.integers(0, 8),
+    ),
+    max_size=40,
+)
+
+
+@hypothesis_settings(max_examples=15, deadline=None)
+@given(lines=LINES, slices=st.integers(1, 7))
+def test_equals_decimal_arithmetic_in_any_partitioning(spark, lines, slices):
+    want = defaultdict(lambda: [Decimal(0)] * 4 + [0])
+    rows = []
+    for flag, status, late, quantity, cents, discount, tax in lines:
+        shipped = (CUTOFF + timedelta(days=late)).isoformat()
+        rows.append(
+            line(flag, status, shipped, float(quantity), cents / 100, discount / 100, tax / 100)
+        )
+        if late <= 0:
+            price = Decimal(cents) / 100
+            net = price * (1 - Decimal(discount) / 100)
+            parts = (Decimal(quantity), price, net, net * (1 + Decimal(tax) / 100), 1)
+            want[flag, status] = [a + b for a, b in zip(want[flag, status], parts)]
+    got = pricing_summary(table(spark, "lineitem", rows, slices), CUTOFF).collect()
+    assert {
+        (r.l_returnflag, r.l_linestatus): [
+            r.sum_qty, r.sum_base_price, r.sum_disc_price, r.sum_charge, r.count_order
+        ]
+        for r in got
+    } == want
+
+
+def test_plan_reads_seven_columns_and_shuffles_partial_sums_once(spark, settings):
+    settings(spark__sql__maxMetadataStringLength="10000")
+    plan = final_plan(pricing_summary(load(spark, "/root/testdata/sf0.01", "lineitem"), CUTOFF))
+    assert plan.count("Exchange") == 1
+    assert "partial_sum" in plan and "ObjectHashAggregate" not in plan
+    assert "LessThanOrEqual(l_shipdate,2000-09-02T00:00)" in plan
+    assert columns_read(plan) == {
+        "lineitem": {
+            "l_quantity",
+            "l_extendedprice",
+            "l_discount",
+            "l_tax",
+            "l_returnflag",
+            "l_linestatus",
+            "l_shipdate",
+        }
+    }

@@ -1,0 +1,50 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.functions import day
+from ledgerline.sources import SCHEMAS, load
+from tests.builders import at, table
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_given_tables_have_the_declared_columns(spark, sf):
+    for name in SCHEMAS:
+        assert load(spark, f"/root/testdata/sf{sf}", name).columns
+
+
+def test_folder_of_files_reads_like_one_file(spark, tmp_path):
+    given = load(spark, "/root/testdata/sf0.001", "nation")
+    given.repartition(3).write.parquet(str(tmp_path / "nation.parquet"))
+    again = load(spark, str(tmp_path), "nation")
+    assert sorted(again.collect()) == sorted(given.collect())
+
+
+def test_extra_columns_are_dropped(spark, tmp_path):
+    given = load(spark, "/root/testdata/sf0.001", "region")
+    given.withColumn("note", F.lit("x")).write.parquet(str(tmp_path / "region.parquet"))
+    assert load(spark, str(tmp_path), "region").columns == ["r_regionkey", "r_name"]
+
+
+def test_missing_column_and_wrong_type_are_reported(spark, tmp_path):
+    spark.range(3).select(F.col("id").alias("r_regionkey")).write.parquet(
+        str(tmp_path / "region.parquet")
+    )
+    with pytest.raises(ValueError, match="r_regionkey: want int, found bigint; r_name: .* nothing"):
+        load(spark, str(tmp_path), "region")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_day_does_not_depend_on_the_session_zone(spark, settings, zone):
+    settings(spark__sql__session__timeZone=zone)
+    orders = table(
+        spark,
+        "orders",
+        [
+            {"o_orderkey": 1, "o_orderdate": at("1996-01-01T00:00:00")},
+            {"o_orderkey": 2, "o_orderdate": at("1995-12-31T23:59:59")},
+        ],
+    )
+    kept = orders.where(F.col("o_orderdate") >= day(date(1996, 1, 1)))
+    assert [r.o_orderkey for r in kept.collect()] == [1]
