@@ -15,31 +15,36 @@ from pyspark.sql import functions as F
 _LOW_BITS = 20
 
 
-def hundredths(amount: Column) -> Column:
-    """A two-place amount as a whole number of hundredths.
+def hundredths(amount: str) -> Column:
+    """The two-place column ``amount`` as a whole number of hundredths.
 
     In ANSI mode the cast raises on NaN, infinity and values beyond bigint.
     """
-    return F.rint(amount * 100).cast("bigint")
+    return F.expr(f"cast(rint(`{amount}` * 100) AS bigint)")
 
 
-def exact_sum(units: Column, scale: int = 0) -> Column:
-    """Sum of a bigint column as ``decimal(38, scale)``.
+def exact_sum(units: str, scale: int = 0) -> Column:
+    """Sum of the bigint column ``units`` as ``decimal(38, scale)``.
 
     ``units`` counts steps of 10**-scale. A bigint sum of price times
     discount times tax overflows at about 1e8 rows, so the upper and the
     lowest 20 bits are summed apart: with values up to 1e12 both sums hold
     for more than 8e12 rows in one group. Past that ANSI mode raises.
     """
-    upper = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
-    lower = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1).cast("bigint")))
-    whole = upper * F.lit(1 << _LOW_BITS).cast("decimal(7,0)") + lower.cast("decimal(20,0)")
-    if scale == 0:
-        return whole.cast("decimal(38,0)")
-    step = F.lit("0." + "0" * (scale - 1) + "1").cast(f"decimal({scale},{scale})")
-    return (whole * step).cast(f"decimal(38,{scale})")
+    return F.expr(_sum_text(units, scale))
 
 
-def exact_mean(units: Column, scale: int, places: int = 6) -> Column:
+def exact_mean(units: str, scale: int, places: int = 6) -> Column:
     """Mean of the non-null values, from the exact sum, as a rounded double."""
-    return F.round(exact_sum(units, scale).cast("double") / F.count(units), places)
+    total = _sum_text(units, scale)
+    return F.expr(f"round(cast({total} AS double) / count(`{units}`), {places})")
+
+
+def _sum_text(units: str, scale: int) -> str:
+    # As one expression text: built call by call, a report's columns take
+    # longer to put together than a small table takes to read.
+    size = 1 << _LOW_BITS
+    upper = f"cast(sum(shiftright(`{units}`, {_LOW_BITS})) AS decimal(20, 0))"
+    lower = f"cast(sum(`{units}` & {size - 1}) AS decimal(20, 0))"
+    step = "1" if scale == 0 else "0." + "0" * (scale - 1) + "1"
+    return f"cast(({upper} * {size} + {lower}) * {step} AS decimal(38, {scale}))"

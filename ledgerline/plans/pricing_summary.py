@@ -16,22 +16,27 @@ def pricing_summary(lineitem: DataFrame, shipped_by: date) -> DataFrame:
     One shuffle, of partial sums: a row per group and map task, whatever
     share of the lines one group holds.
     """
-    quantity = hundredths(F.col("l_quantity"))
-    price = hundredths(F.col("l_extendedprice"))
-    discount = hundredths(F.col("l_discount"))
-    net = price * (100 - discount)
-    charge = net * (100 + hundredths(F.col("l_tax")))
     return (
         lineitem.where(F.col("l_shipdate") <= day(shipped_by))
+        .select(
+            "l_returnflag",
+            "l_linestatus",
+            hundredths("l_quantity").alias("quantity"),
+            hundredths("l_extendedprice").alias("price"),
+            hundredths("l_discount").alias("discount"),
+            hundredths("l_tax").alias("tax"),
+        )
+        .withColumn("net", F.expr("price * (100 - discount)"))
+        .withColumn("charge", F.expr("net * (100 + tax)"))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            exact_sum(quantity, 2).alias("sum_qty"),
-            exact_sum(price, 2).alias("sum_base_price"),
-            exact_sum(net, 4).alias("sum_disc_price"),
-            exact_sum(charge, 6).alias("sum_charge"),
-            exact_mean(quantity, 2).alias("avg_qty"),
-            exact_mean(price, 2).alias("avg_price"),
-            exact_mean(discount, 2).alias("avg_disc"),
-            F.count(F.lit(1)).alias("count_order"),
+            exact_sum("quantity", 2).alias("sum_qty"),
+            exact_sum("price", 2).alias("sum_base_price"),
+            exact_sum("net", 4).alias("sum_disc_price"),
+            exact_sum("charge", 6).alias("sum_charge"),
+            exact_mean("quantity", 2).alias("avg_qty"),
+            exact_mean("price", 2).alias("avg_price"),
+            exact_mean("discount", 2).alias("avg_disc"),
+            F.count("*").alias("count_order"),
         )
     )

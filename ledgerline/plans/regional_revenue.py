@@ -45,14 +45,12 @@ def regional_revenue(
     lines = lineitem.select(
         "l_orderkey",
         "l_suppkey",
-        (
-            hundredths(F.col("l_extendedprice")) * (100 - hundredths(F.col("l_discount")))
-        ).alias("net"),
+        (hundredths("l_extendedprice") * (100 - hundredths("l_discount"))).alias("net"),
     )
     by_supplier = (
         lines.join(sales, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("l_suppkey", "c_nationkey")
-        .agg(exact_sum(F.col("net"), 4).alias("net"))
+        .agg(exact_sum("net", 4).alias("net"))
     )
     same_nation = (F.col("l_suppkey") == F.col("s_suppkey")) & (
         F.col("c_nationkey") == F.col("s_nationkey")
