@@ -243,3 +243,23 @@ def test_hot_customer_order_and_supplier(spark, settings, tmp_path):
     assert final_plan(df).count("SortMergeJoin(skew=true)") == 2
     _, rows = duck(tmp_path, contract.oracle_sql()["regional_revenue"])
     assert sorted(tuple(r) for r in df.collect()) == rows
+
+
+def test_lines_stored_by_order_are_not_shuffled(spark, settings, tmp_path):
+    """Bucketed tables go in as they are: the plan takes DataFrames, not paths."""
+    source = "/root/testdata/sf0.01"
+    tables = {name: load(spark, source, name) for name in TABLES}
+    want = revenue(regional_revenue(**tables, region_name="ASIA", **PERIOD))
+    tables["lineitem"].write.bucketBy(8, "l_orderkey").sortBy("l_orderkey").option(
+        "path", str(tmp_path / "lines")
+    ).saveAsTable("lines_by_order")
+    try:
+        tables["lineitem"] = spark.table("lines_by_order")
+        settings(spark__sql__autoBroadcastJoinThreshold="6000")
+        df = regional_revenue(**tables, region_name="ASIA", **PERIOD)
+        plan = final_plan(df)
+        assert "Exchange hashpartitioning(l_orderkey" not in plan
+        assert "Exchange hashpartitioning(o_orderkey" in plan
+        assert revenue(df) == want
+    finally:
+        spark.sql("DROP TABLE lines_by_order")
