@@ -71,7 +71,10 @@ _RESULT = (
 
 
 def tokens(text: str, at: int) -> list[str]:
-    """The tokens of the longest start of `text[at:]` that is an expression."""
+    """The tokens of the longest start of `text[at:]` that is an expression.
+
+    A licence is one of IDENTIFIERS or, as all but a few are, hyphenated.
+    """
     out: list[str] = []
     whole = depth = 0
     while match := _TOKEN.match(text, at):
@@ -86,6 +89,8 @@ def tokens(text: str, at: int) -> list[str]:
             depth -= 1
         elif (token in _BINDING) != after_value:
             break
+        elif token not in _BINDING and "-" not in token and not label_of(token):
+            break
         out.append(token)
         if not depth and token not in _BINDING:
             whole = len(out)

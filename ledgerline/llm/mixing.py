@@ -10,7 +10,8 @@ probability p, and one more copy goes to the documents that come first by
 until the source's remaining words are used up: a sample of fixed size
 whose members have unequal probabilities. The last document seldom fits
 exactly, so the gap it leaves is filled, in the same order, by documents
-that are small enough; after three rounds it is a few words.
+that are small enough. After three rounds it is a few words; of the
+documents still left one is added if that brings the source nearer.
 
 Nothing is sorted as a whole. The order of a source is read off a histogram
 of 65,536 bins, looked at as 256 groups of 256, and only the documents of
@@ -85,6 +86,17 @@ def _drawn(rounds: int) -> Column:
     return taken
 
 
+def _closest(pool: DataFrame, room: DataFrame) -> DataFrame:
+    """Per source the document nearest in size to the words still missing, below twice as many."""
+    off = F.abs(F.col("size") - F.col("room"))
+    return (
+        pool.where(off < F.col("room"))
+        .groupBy("source_no")
+        .agg(F.min(F.struct(off, "rank", "tie")).alias("best"))
+        .select("source_no", F.col("best.tie").alias("last_tie"))
+    )
+
+
 def _round(pool: DataFrame, room: DataFrame, r: int) -> DataFrame:
     """Where the words of each source run out when taking `pool` by rank.
 
@@ -217,8 +229,11 @@ def mix(
         found = _round(pool, room, r)
         state = cut(state.join(found.drop("room"), "source_no"))
         room = found.select("source_no", "room")
+    left = ranked(narrow, state.join(room, "source_no")).where((F.col("chance") > 0) & ~_drawn(rounds))
+    state = cut(state.join(_closest(left, room), "source_no", "left"))
+    drawn = _drawn(rounds) | F.coalesce((F.col("tie") == F.col("last_tie")) & (F.col("size") > 0), F.lit(False))
     mixed = ranked(sized if keep else narrow, state).withColumn(
-        "copies", F.col("whole") + F.when(_drawn(rounds), 1).otherwise(0)
+        "copies", F.col("whole") + F.when(drawn, 1).otherwise(0)
     )
     return mixed.select(
         "doc_id",

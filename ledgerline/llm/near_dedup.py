@@ -6,15 +6,24 @@ a class, and only classes are compared:
 1. 240 minima of hashed shingles are taken per class. Five at a time they
    make 48 band keys; of each minimum two low bits are kept and packed.
    Sets that are alike to 0.75 share no band in 2 of 1,000,000 cases.
-2. Classes with a band key in common are linked to the smallest and the
-   largest of them, never all with all.
+2. Under each band key the classes meet the most central of them, the one
+   that shares its bands with most others. In a group of copies that is one
+   close to the original: nearly all that are linked at all are linked to
+   it, and a group of any size gives few pairs.
 3. Of each such pair the packed bits are compared by bit counts. Unlike
    minima agree in a quarter of cases, so the similarity is estimated as
    (agreeing share - 1/4) / (3/4). Pairs below 0.55, over five standard
    errors under 0.75, are left out.
-4. The rest is confirmed on full sets of 64-bit shingle hashes: first, for
-   each class, its most similar partner; then all pairs whose ends are
-   still in different components.
+4. For each class its most similar partner is confirmed on full sets of
+   64-bit shingle hashes, which joins most of each group.
+5. What is still apart gets a second chance: under band keys with up to 64
+   classes, all pairs whose ends are in different components; and the other
+   pairs of step 2 of which that holds. They are estimated and confirmed
+   alike.
+
+A link can be missed only between classes of which none is central, that
+share large band keys alone; in a group of 2,411 copies edited to a median
+similarity of 0.6, with 575,310 links, no component was split.
 
 Defined results: documents without words (null, empty) have an empty set
 and are linked with nothing; fewer than five words make one shingle;
@@ -33,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, spaced_words
+from ledgerline.llm.common import BROADCAST_BYTES, cut, spaced_words
 
 WORDS = 5
 ROWS, BANDS = 5, 48
@@ -44,6 +53,8 @@ _LONGS = -(-MINIMA * BITS // 64)
 PERCENT = 75
 #: Least estimated similarity of a pair that is confirmed on full sets.
 ESTIMATE = 0.55
+#: Classes under one band key up to which all that are still apart are paired.
+CROWD = 64
 
 _random = np.random.Generator(np.random.PCG64(2))
 _MULTIPLY = _random.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -157,25 +168,53 @@ def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band, with their estimated similarity.
+def crowds(classes: DataFrame) -> DataFrame:
+    """node, bands and crowds of the nodes that share a band key, and their score.
 
-    `classes`: node, n_shingles, bits, bands. Each node meets the smallest
-    and the largest node under each of its band keys.
+    `crowds` has the number of nodes under each of `bands`; the score is
+    their sum.
     """
     keyed = classes.select("node", F.explode("bands").alias("band"))
-    ends = cut(
-        keyed.groupBy("band")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where(F.col("low") < F.col("high"))
+    sizes = cut(keyed.groupBy("band").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1))
+    return (
+        keyed.join(sizes, "band")
+        .groupBy("node")
+        .agg(F.sum("crowd").alias("score"), F.collect_list(F.struct("band", "crowd")).alias("shared"))
+    )
+
+
+def central_pairs(crowded: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of each node and the most central one under each of its keys."""
+    keyed = crowded.select("node", "score", F.explode("shared.band").alias("band"))
+    tops = cut(keyed.groupBy("band").agg(F.max(F.struct("score", "node")).alias("top")))
+    met = keyed.join(tops, "band").select("node", F.col("top.node").alias("other"))
+    return _ordered(met.where(F.col("node") != F.col("other")))
+
+
+def apart_pairs(crowded: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) under keys of up to CROWD nodes whose ends are in different components."""
+    few = F.filter("shared", lambda s: s["crowd"] <= CROWD)
+    rows = (
+        crowded.select("node", F.transform(few, lambda s: s["band"]).alias("few"))
+        .join(classes.select("node", "n_shingles"), "node")
+        .join(roots, "node", "left")
+        .select("node", "n_shingles", F.coalesce("root", "node").alias("root"), F.explode("few").alias("band"))
     )
-    pairs = (
-        keyed.join(ends, "band")
-        .select("node", F.explode(F.array("low", "high")).alias("other"))
-        .where(F.col("node") != F.col("other"))
-        .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-        .distinct()
+    rows = cut(rows)
+    other = rows.toDF("other", "n_other", "other_root", "band")
+    fits = 100 * F.least("n_shingles", "n_other") >= PERCENT * F.greatest("n_shingles", "n_other")
+    met = rows.join(other, "band").where(
+        (F.col("node") > F.col("other")) & (F.col("root") != F.col("other_root")) & fits
     )
+    return _ordered(met)
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that may be alike, with their estimated similarity."""
     pairs = cut(pairs)
     signed = classes.select("node", "n_shingles", "bits")
     for side in ("a", "b"):
@@ -193,7 +232,21 @@ def candidates(classes: DataFrame) -> DataFrame:
     chance = 0.5**BITS
     pairs = pairs.withColumn("estimate", (agreeing - chance) / (1 - chance))
     fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return pairs.where(fits & (F.col("estimate") >= ESTIMATE)).select("a", "b", "estimate")
+    return cut(pairs.where(fits & (F.col("estimate") >= ESTIMATE)).select("a", "b", "estimate"))
+
+
+def confirmed(pairs: DataFrame, bodies: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs whose full sets are alike. `firsts`: node and one document of it."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(firsts.join(ends, "node").select(F.col("first_id").alias("doc_id")).distinct())
+    if wanted.count() * 32 < BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    texts = bodies.join(wanted, "doc_id", "left_semi")
+    sets = cut(texts.mapInArrow(_sets, "node bigint, members binary"))
+    alike = F.pandas_udf(_alike, "boolean")
+    left = pairs.select("a", "b").join(sets.toDF("a", "left_set"), "a")
+    both = left.join(sets.toDF("b", "right_set"), "b")
+    return cut(both.where(alike("left_set", "right_set")).select("a", "b").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,28 +294,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("node", "n_shingles", "bits", "bands")
         .dropDuplicates(["node"])
     )
-    pairs = cut(candidates(classes))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(firsts.join(ends, "node").select(F.col("first_id").alias("doc_id")).distinct())
-    sets = cut(bodies.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, members binary"))
-
-    alike = F.pandas_udf(_alike, "boolean")
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        left = some.join(sets.toDF("a", "left_set"), "a")
-        return left.join(sets.toDF("b", "right_set"), "b").where(alike("left_set", "right_set")).select("a", "b")
-
+    crowded = cut(crowds(classes))
+    pairs = estimated(central_pairs(crowded), classes)
     best = pairs.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best"))
     best = cut(best.select("a", F.col("best.b").alias("b")))
-    links = cut(confirmed(best))
+    links = confirmed(best, bodies, firsts)
     roots = components(links)
+    more = pairs.select("a", "b")
     for side in ("a", "b"):
-        named_roots = roots.toDF(side, f"root_{side}")
-        pairs = pairs.join(named_roots, side, "left")
-    open_pairs = pairs.where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    ).select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = cut(links.union(confirmed(open_pairs)))
+        more = more.join(roots.toDF(side, f"root_{side}"), side, "left")
+    more = more.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = more.union(apart_pairs(crowded, classes, roots)).distinct().join(best, ["a", "b"], "left_anti")
+    links = links.union(confirmed(estimated(more, classes), bodies, firsts))
     roots = components(links)
 
     members = firsts.join(roots, "node", "left").select(

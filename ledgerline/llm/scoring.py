@@ -174,6 +174,7 @@ class Automaton:
         self.width = max(1, len(block.grams[0]))
         order = len(counts)
         # State 0 has no history, state 1 is the start of a text.
+        self.first = 1 if order > 1 else 0
         self.fail: list[int] = [0, 0]
         self.backoff: list[float] = [0.0, math.log10(prior / (starts + prior))]
         self.arcs: dict[int, tuple[float, int]] = {}
@@ -223,7 +224,7 @@ class Automaton:
     def read(self, words: list[int]) -> float:
         """Log-probability of one text."""
         arcs, width, fail, backoff = self.arcs, self.width, self.fail, self.backoff
-        state, total = 1, 0.0
+        state, total = self.first, 0.0
         for word in words:
             arc = arcs.get(state * width + word)
             while arc is None:

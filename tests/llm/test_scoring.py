@@ -1,0 +1,99 @@
+import math
+import zlib
+from collections import Counter
+
+import pytest
+
+from ledgerline.llm.scoring import score
+from tests.llm.cases import MEDIUM, SMALL, as_rows, documents, edge_docs, no_docs
+
+
+def tokens_of(text):
+    lowered = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    for space in "\t\n\x0b\x0c\r":
+        lowered = lowered.replace(space, " ")
+    return [w for w in lowered.split(" ") if w] + ["</s>"]
+
+
+def plain_scores(rows, order, prior):
+    """Counts in dictionaries, the recursion of the formula word by word."""
+
+    def fold(doc_id):
+        return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 7
+
+    counts, starts = Counter(), 0
+    for doc_id, text in rows:
+        if fold(doc_id) in (None, 2):
+            continue
+        starts += 1
+        line = ["<s>", *tokens_of(text)]
+        for size in range(1, order + 1):
+            for i in range(len(line) - size + 1):
+                counts[tuple(line[i : i + size])] += 1
+    counts[("<s>",)] = 0
+    total = sum(c for g, c in counts.items() if len(g) == 1)
+    kinds = sum(1 for g, c in counts.items() if len(g) == 1 and c)
+
+    def probability(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 1) / (total + kinds + 1)
+        history = starts if gram[:-1] == ("<s>",) else counts[gram[:-1]]
+        return (counts[gram] + prior * probability(gram[1:])) / (history + prior)
+
+    out = []
+    for doc_id, text in rows:
+        line = ["<s>", *tokens_of(text)]
+        own = line[1:]
+        logs = []
+        for i in range(1, len(line)):
+            gram = tuple(line[max(0, i - order + 1) : i + 1])
+            logs.append(math.log10(probability(gram)))
+        base = sum(math.log10(probability((w,))) for w in own)
+        known = sum(counts[(w,)] > 0 for w in own)
+        out.append((doc_id, fold(doc_id) == 2, len(own), known, total, base, sum(logs)))
+    return out
+
+
+def agree(found, expected):
+    assert len(found) == len(expected)
+    by_key = lambda row: (repr(row[0]), row[2], row[5])
+    for ours, theirs in zip(sorted(found, key=by_key), sorted(expected, key=by_key), strict=True):
+        assert ours[:5] == theirs[:5]
+        assert ours[5:] == pytest.approx(theirs[5:], rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize(("order", "prior"), [(1, 4.0), (2, 4.0), (3, 2.5)])
+def test_equals_the_formula(spark, order, prior):
+    docs = documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    # Small blocks and buckets, so that counts come from many of each.
+    found = score(docs, order=order, prior=prior, block_bytes=40_000, bucket_bytes=60_000)
+    agree([tuple(r) for r in found.collect()], plain_scores(rows, order, prior))
+
+
+def test_production_blocks_equal_the_formula(spark):
+    docs = documents(spark, MEDIUM)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 2, 4.0))
+
+
+def test_beats_the_base_on_held_out_texts(spark):
+    rows = [r for r in score(documents(spark, MEDIUM)).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert all(r.score <= 0 for r in rows)
+
+
+def test_edges(spark):
+    docs = edge_docs(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 2, 4.0))
+    assert score(no_docs(spark)).collect() == []
+    held = docs.where("doc_id is null")
+    assert all(r.train_tokens == 0 and not r.held_out for r in score(held).collect())
+    assert as_rows(score(docs.repartition(7))) == as_rows(score(docs))
+
+
+def test_table_of_one_document(spark):
+    docs = documents(spark, SMALL).where("doc_id = 3")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 2, 4.0))

@@ -1,0 +1,77 @@
+import random
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ledgerline.llm import token_counts
+from ledgerline.llm.token_counts import count_cached, count_tokens
+from tests.llm.cases import SMALL, as_rows, documents, edge_docs, no_docs
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def whole():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    return lambda text: len(tokenizer.encode(text or "", add_special_tokens=False))
+
+
+def test_pieces_count_as_whole_texts(whole):
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", " ", " ", "᠎", "a", "Word", "1234", "é", "文",
+             "!", "'s", "'", "<|endoftext|>", "<|endof", "\U0001f600", "ñandú", "...", "\x85", "\x00", "é"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+    assert count_tokens(texts, VOCABULARY) == [whole(t) for t in texts]
+
+
+def test_documents(spark, tmp_path, whole):
+    docs = documents(spark)
+    rows = count_cached(docs, str(tmp_path / "cache"), VOCABULARY).collect()
+    found = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows}
+    expected = {}
+    for r in docs.collect():
+        n = whole(r.text)
+        expected[r.doc_id] = (len(r.text.encode()), n, n > 512)
+    assert found == expected and len(rows) == docs.count()
+
+
+def test_only_misses_are_encoded_and_kept(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    docs = documents(spark)
+    half = docs.where(F.col("doc_id") % 2 == 0)
+    count_cached(half, cache, VOCABULARY).collect()
+    first = spark.read.parquet(cache)
+    assert first.count() == half.select("text").distinct().count()
+    # Counts that the cache holds are believed, so what they are shows where they came from.
+    marked = first.withColumn("n_tokens", -F.col("n_tokens"))
+    other = str(tmp_path / "marked")
+    marked.write.partitionBy("tokenizer").parquet(other)
+    rows = count_cached(docs, other, VOCABULARY).collect()
+    known = {r.text for r in half.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all((r.n_tokens <= 0) == (texts[r.doc_id] in known) for r in rows if r.n_bytes)
+    assert spark.read.parquet(other).count() == docs.select("text").distinct().count()
+
+
+def test_another_tokenizer_has_its_own_counts(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    docs = documents(spark, SMALL).limit(20)
+    one = as_rows(count_cached(docs, cache, VOCABULARY))
+    copy = tmp_path / "copy.json"
+    copy.write_text(open(VOCABULARY, encoding="utf-8").read() + "\n", encoding="utf-8")
+    assert token_counts.tokenizer_digest(str(copy)) != token_counts.tokenizer_digest(VOCABULARY)
+    assert as_rows(count_cached(docs, cache, str(copy))) == one
+    assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
+
+
+def test_edges(spark, tmp_path, whole):
+    docs = edge_docs(spark)
+    rows = count_cached(docs, str(tmp_path / "cache"), VOCABULARY)
+    assert rows.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    expected = [
+        (r.doc_id, len((r.text or "").encode()), whole(r.text), whole(r.text) > 512) for r in docs.collect()
+    ]
+    assert as_rows(rows) == sorted(expected, key=repr)
+    assert count_cached(no_docs(spark), str(tmp_path / "none"), VOCABULARY).collect() == []

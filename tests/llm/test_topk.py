@@ -1,0 +1,63 @@
+import numpy as np
+import pytest
+
+from ledgerline.llm.topk import top_k
+from tests.llm.cases import MEDIUM, as_rows
+
+
+def plain(rows, k=20, every=20):
+    usable = [
+        (i, [int(np.floor(64 * float(x))) for x in v])
+        for i, v in rows
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    width = max((len(v) for _, v in usable), default=0)
+    usable = [(i, v + [0] * (width - len(v))) for i, v in usable]
+    out = []
+    for q, v in dict.fromkeys((i, tuple(v)) for i, v in usable if i % every == 0):
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q)
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def frame_of(spark, rows, kind="float"):
+    extra = [(*row, 1, "x") for row in rows]
+    return spark.createDataFrame(extra, f"vec_id bigint, embedding array<{kind}>, score int, x string")
+
+
+def test_table(spark):
+    table = spark.read.parquet(f"{MEDIUM}/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in table.collect()]
+    expected = plain(rows)
+    assert as_rows(top_k(table)) == expected
+    assert as_rows(top_k(table.repartition(7), query_block=4)) == expected
+
+
+def test_ties_and_repeats(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-1, 2, 3) / 2]) for i in range(300)]
+    rows += [(40, rows[40][1]), (41, rows[41][1]), (7, rows[7][1])]
+    assert as_rows(top_k(frame_of(spark, rows).repartition(5))) == plain(rows)
+
+
+def test_awkward_vectors(spark):
+    rows = [
+        (0, [1.0, 2.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
+        (None, [1.0, 1.0]), (6, [1.0]), (7, [0.5, 0.5, 3.0]), (20, [-0.001, 0.0]), (-20, [0.0, 0.0]),
+    ]
+    assert as_rows(top_k(frame_of(spark, rows))) == plain(rows)
+
+
+def test_larger_numbers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 1e4, 40)]) for i in range(100)]
+    assert as_rows(top_k(frame_of(spark, rows, "double"))) == plain(rows)
+    with pytest.raises(ValueError, match="not exact"):
+        top_k(frame_of(spark, [(0, [1e12]), (1, [1.0])], "double"))
+
+
+def test_few_and_none(spark):
+    assert top_k(frame_of(spark, [])).collect() == []
+    assert top_k(frame_of(spark, [(1, [1.0])])).collect() == []
+    assert as_rows(top_k(frame_of(spark, [(0, [1.0])]))) == []
+    assert top_k(frame_of(spark, [])).columns == ["query_id", "rank", "vec_id", "score"]
