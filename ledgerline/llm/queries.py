@@ -92,7 +92,7 @@ ORACLE_SQL = {
             FROM pages
         ),
         record AS (
-            SELECT 4 * page AS record_id, url, 4 * page AS at, true AS is_full, body, tag, size
+            SELECT 4 * page AS record_id, url, 4 * page AS captured, true AS is_full, body, tag, size
             FROM page
             UNION ALL
             SELECT 4 * page + 2, url || '#seen', 4 * page + 2, false, NULL,
@@ -118,7 +118,7 @@ ORACLE_SQL = {
         met AS (
             SELECT n.*, f.record_id AS found_id, f.tag AS found_tag, f.body AS found_body, f.size AS found_size
             FROM named n ASOF LEFT JOIN (SELECT * FROM named WHERE is_full) f
-              ON n.canonical_url = f.canonical_url AND n.at > f.at
+              ON n.canonical_url = f.canonical_url AND n.captured > f.captured
         ),
         judged AS (
             SELECT *, CASE WHEN is_full THEN 'full'
@@ -134,7 +134,7 @@ ORACLE_SQL = {
                || chr(10) || 'content-length: '
                || CASE status WHEN 'full' THEN size WHEN 'resolved' THEN found_size ELSE '0' END
                || CASE WHEN status IN ('full', 'resolved') THEN chr(10) || 'content-type: text/html' ELSE '' END
-               || chr(10) || 'date: day ' || CAST(at AS VARCHAR)
+               || chr(10) || 'date: day ' || CAST(captured AS VARCHAR)
                || chr(10) || 'etag: ' || tag AS headers
         FROM judged
     """,
