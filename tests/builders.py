@@ -27,6 +27,22 @@ def final_plan(df):
     return plan.split("== Initial Plan ==")[0]
 
 
+def rows_scanned(df):
+    """Rows that the file scans of a query gave out, after running it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, todo = 0, [plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return total
+
+
 def columns_read(plan):
     """Columns each table's scans take from the files."""
     read = defaultdict(set)

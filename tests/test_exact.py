@@ -21,13 +21,31 @@ def test_hundredths_recovers_two_place_amounts(spark, cents):
     assert one(df.select(F.bool_and(hundredths("amount") == F.col("cents"))))
 
 
-@pytest.mark.parametrize("bad", [float("nan"), float("inf"), 1e300])
-def test_hundredths_rejects_what_has_no_hundredths(spark, bad):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), 1e300, -1.1e10, 1.234, 0.005])
+def test_hundredths_rejects_what_has_no_hundredths(spark, settings, bad, ansi):
+    settings(spark__sql__ansi__enabled=ansi)
     df = spark.createDataFrame([(bad,)], "amount double")
-    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+    with pytest.raises(Exception, match="no amount of two places"):
         df.select(hundredths("amount")).collect()
 
 
+def test_hundredths_keeps_nulls_and_its_bound(spark):
+    df = spark.createDataFrame([(None,), (1e10,), (-1e10,)], "amount double")
+    assert [r[0] for r in df.select(hundredths("amount")).collect()] == [None, 10**12, -(10**12)]
+    with pytest.raises(ValueError, match="most is"):
+        hundredths("amount", 10**11)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_sum_beyond_its_range_raises(spark, settings, ansi):
+    settings(spark__sql__ansi__enabled=ansi)
+    # Upper parts of 2**43 each, 2**21 of them: one more than a bigint holds.
+    df = spark.range(1 << 21, numPartitions=4).select(F.lit((1 << 63) - 1).alias("u"))
+    with pytest.raises(Exception, match="beyond its range"):
+        df.select(exact_sum("u")).collect()
+
+
 @hypothesis_settings(max_examples=20, deadline=None)
 @given(units=st.lists(st.one_of(BIGINT, st.none()), min_size=1, max_size=50))
 def test_exact_sum_equals_integer_sum(spark, units):

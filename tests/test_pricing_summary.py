@@ -2,12 +2,14 @@ from collections import defaultdict
 from datetime import date, timedelta
 from decimal import Decimal
 
+import pytest
 from hypothesis import given, settings as hypothesis_settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerline.plans import pricing_summary
 from ledgerline.sources import load
-from tests.builders import at, columns_read, final_plan, table
+from tests.builders import at, columns_read, final_plan, rows_scanned, table
 
 CUTOFF = date(2000, 9, 2)
 
@@ -32,7 +34,7 @@ def test_small_table(spark):
             line("A", "F", "2000-09-02", 2.0, 100.10, 0.10, 0.08),
             line("A", "F", "1995-01-01", 3.0, 0.01, 0.0, 0.0),
             line("N", "O", "2000-09-01T23:59:59", 1.0, 999.99, 0.05, 0.01),
-            line("N", "O", "2000-09-02T00:00:01", 50.0, 1.0, 0.0, 0.0),
+            line("N", "O", "2000-09-02T23:59:59", 4.0, 1.0, 0.0, 0.0),
             line("R", "F", "2000-09-03", 50.0, 1.0, 0.0, 0.0),
         ],
         slices=3,
@@ -45,8 +47,8 @@ def test_small_table(spark):
         ),
         (
             "N", "O",
-            Decimal("1.00"), Decimal("999.99"), Decimal("949.9905"), Decimal("959.490405"),
-            1.0, 999.99, 0.05, 1,
+            Decimal("5.00"), Decimal("1000.99"), Decimal("950.9905"), Decimal("960.490405"),
+            2.5, 500.495, 0.025, 2,
         ),
     ]
 
@@ -67,6 +69,45 @@ def test_unknown_amounts_are_left_out_of_sums_and_means(spark):
     ]
 
 
+def test_places_of_the_means(spark):
+    rows = [line("A", "F", "2000-01-01", float(q), 1.0, 0.0, 0.0) for q in (1, 1, 2)]
+    lines = table(spark, "lineitem", rows)
+    assert pricing_summary(lines, CUTOFF).first().avg_qty == 1.333333
+    assert pricing_summary(lines, CUTOFF, places=2).first().avg_qty == 1.33
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    ("price", "discount"),
+    [(9e13, 0.0), (float("nan"), 0.0), (float("-inf"), 0.0), (1e300, 0.0), (1.234, 0.0), (1.0, 0.005), (1.0, 10.01)],
+)
+def test_amounts_that_would_give_wrong_totals_raise(spark, settings, ansi, price, discount):
+    settings(spark__sql__ansi__enabled=ansi)
+    lines = table(spark, "lineitem", [line("A", "F", "2000-01-01", 1.0, price, discount, 0.0)])
+    with pytest.raises(Exception, match="no amount of two places"):
+        pricing_summary(lines, CUTOFF).collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_largest_amounts_are_exact(spark, settings, ansi):
+    settings(spark__sql__ansi__enabled=ansi)
+    rows = [line("A", "F", "2000-01-01", 1.0, 1e10, -10.0, 10.0)] * 30
+    got = pricing_summary(table(spark, "lineitem", rows), CUTOFF).first()
+    assert got.sum_charge == 30 * Decimal(10**10) * 11 * 11
+
+
+def test_dates_let_row_groups_be_skipped(spark, tmp_path):
+    lines = load(spark, "/root/testdata/sf0.1", "lineitem")
+    dated = lines.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    dated.sort("l_shipdate").coalesce(1).write.option("parquet.block.size", 1 << 20).parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    early = date(1995, 6, 1)
+    got = pricing_summary(load(spark, str(tmp_path), "lineitem"), early)
+    assert sorted(got.collect()) == sorted(pricing_summary(lines, early).collect())
+    assert 0 < rows_scanned(got) < lines.count() / 2
+
+
 LINES = st.lists(
     st.tuples(
         st.sampled_from("ANR"),
@@ -109,8 +150,8 @@ def test_plan_reads_seven_columns_and_shuffles_partial_sums_once(spark, settings
     settings(spark__sql__maxMetadataStringLength="10000")
     plan = final_plan(pricing_summary(load(spark, "/root/testdata/sf0.01", "lineitem"), CUTOFF))
     assert plan.count("Exchange") == 1
-    assert "partial_sum" in plan and "ObjectHashAggregate" not in plan
-    assert "LessThanOrEqual(l_shipdate,2000-09-02T00:00)" in plan
+    assert "partial_try_sum" in plan and "ObjectHashAggregate" not in plan
+    assert "LessThan(l_shipdate,2000-09-03T00:00)" in plan
     assert columns_read(plan) == {
         "lineitem": {
             "l_quantity",
