@@ -1,3 +1,3 @@
-from ledgerline.sources.tables import SCHEMAS, load
+from ledgerline.sources.tables import SCHEMAS, file_problems, load
 
-__all__ = ["SCHEMAS", "load"]
+__all__ = ["SCHEMAS", "file_problems", "load"]

@@ -1,10 +1,12 @@
 from datetime import date
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import day
-from ledgerline.sources import SCHEMAS, load
+from ledgerline.sources import SCHEMAS, file_problems, load
 from tests.builders import at, table
 
 
@@ -35,6 +37,33 @@ def test_missing_column_and_wrong_type_are_reported(spark, tmp_path):
         load(spark, str(tmp_path), "region")
 
 
+@pytest.mark.parametrize("order", [("a", "b"), ("b", "a")])
+def test_a_column_that_one_file_lacks_is_reported(spark, tmp_path, order):
+    folder = tmp_path / "region.parquet"
+    folder.mkdir()
+    whole = pa.table({"r_regionkey": pa.array([1], pa.int32()), "r_name": ["ASIA"]})
+    pq.write_table(whole, folder / f"{order[0]}.parquet")
+    pq.write_table(whole.select(["r_regionkey"]), folder / f"{order[1]}.parquet")
+    found = file_problems(spark, str(tmp_path), "region").collect()
+    assert [(r.file.rsplit("/", 1)[1], r.problem) for r in found] == [
+        (f"{order[1]}.parquet", "r_name: want string, found nothing")
+    ]
+
+
+@pytest.mark.parametrize("name", sorted(SCHEMAS))
+def test_given_files_have_no_problems(spark, name):
+    assert file_problems(spark, "/root/testdata/sf0.001", name).collect() == []
+
+
+def test_dates_may_be_stored_as_dates(spark, tmp_path):
+    given = load(spark, "/root/testdata/sf0.001", "orders")
+    given.withColumn("o_orderdate", F.col("o_orderdate").cast("date")).write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    assert load(spark, str(tmp_path), "orders").schema["o_orderdate"].dataType.simpleString() == "date"
+    assert file_problems(spark, str(tmp_path), "orders").collect() == []
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
 def test_day_does_not_depend_on_the_session_zone(spark, settings, zone):
     settings(spark__sql__session__timeZone=zone)
