@@ -22,7 +22,12 @@ NATION = [
 ]
 
 
-def run(spark, customer, supplier, orders, lineitem, slices=1):
+@pytest.fixture(params=[True, False], ids=["sellers first", "orders first"])
+def sellers_first(request):
+    return request.param
+
+
+def run(spark, customer, supplier, orders, lineitem, slices=1, sellers_first=True):
     return regional_revenue(
         table(spark, "region", REGION),
         table(spark, "nation", NATION),
@@ -50,6 +55,7 @@ def run(spark, customer, supplier, orders, lineitem, slices=1):
         ),
         region_name="ASIA",
         **PERIOD,
+        sellers_first=sellers_first,
     )
 
 
@@ -72,9 +78,10 @@ def brute_force(customer, supplier, orders, lineitem):
     return dict(total)
 
 
-def test_small_tables(spark):
+def test_small_tables(spark, sellers_first):
     got = run(
         spark,
+        sellers_first=sellers_first,
         customer=[(1, 0), (2, 1), (3, 2)],
         supplier=[(10, 0), (11, 1), (12, 2)],
         orders=[
@@ -107,9 +114,10 @@ def test_no_matching_rows(spark):
     assert revenue(run(spark, [(1, 2)], [(10, 2)], [(100, 1, "1997-01-01")], [(100, 10, 5, 0)])) == {}
 
 
-def test_null_keys_match_nothing(spark):
+def test_null_keys_match_nothing(spark, sellers_first):
     got = run(
         spark,
+        sellers_first=sellers_first,
         customer=[(1, 0), (2, None), (None, 0)],
         supplier=[(10, 0), (11, None), (None, 0)],
         orders=[
@@ -157,15 +165,21 @@ def test_equals_nested_loops_in_any_partitioning(
         [(key, buyer, placed) for key, (buyer, placed) in orders.items()],
         lineitem,
     )
-    assert revenue(run(spark, *given_tables, slices)) == brute_force(*given_tables)
+    want = brute_force(*given_tables)
+    for first in (True, False):
+        assert revenue(run(spark, *given_tables, slices, first)) == want
+
+
+def asia(spark, source, sellers_first):
+    tables = {name: load(spark, source, name) for name in TABLES}
+    return regional_revenue(**tables, region_name="ASIA", **PERIOD, sellers_first=sellers_first)
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
-def test_same_rows_without_any_broadcast(spark, settings, sf):
-    query = contract.queries()["regional_revenue"]
-    want = revenue(query(spark, f"/root/testdata/sf{sf}"))
+def test_same_rows_without_any_broadcast(spark, settings, sf, sellers_first):
+    want = revenue(contract.queries()["regional_revenue"](spark, f"/root/testdata/sf{sf}"))
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
-    df = query(spark, f"/root/testdata/sf{sf}")
+    df = asia(spark, f"/root/testdata/sf{sf}", sellers_first)
     plan = final_plan(df)
     assert "Broadcast" not in plan and "Cartesian" not in plan
     assert revenue(df) == want
@@ -177,7 +191,7 @@ def test_plan_shuffles_lines_once_and_reads_few_columns(spark, settings):
         spark__sql__autoBroadcastJoinThreshold="6000",
         spark__sql__maxMetadataStringLength="10000",
     )
-    plan = final_plan(contract.queries()["regional_revenue"](spark, "/root/testdata/sf0.1"))
+    plan = final_plan(asia(spark, "/root/testdata/sf0.1", sellers_first=False))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
     # The shuffle by supplier carries partial sums.
@@ -193,6 +207,32 @@ def test_plan_shuffles_lines_once_and_reads_few_columns(spark, settings):
     }
 
 
+def records_shuffled(df, key):
+    """Rows that the shuffles by a key wrote, after running the query."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, todo = 0, [plan.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange" and f"hashpartitioning({key}" in node.simpleString(1000):
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return total
+
+
+def test_sellers_first_shuffles_the_lines_of_the_region_only(spark, settings):
+    # Suppliers fit a broadcast; customers and orders do not.
+    settings(spark__sql__autoBroadcastJoinThreshold="100000")
+    source = "/root/testdata/sf0.1"
+    lines = load(spark, source, "lineitem").count()
+    assert records_shuffled(asia(spark, source, False), "l_orderkey") == lines
+    assert records_shuffled(asia(spark, source, True), "l_orderkey") < 0.3 * lines
+    assert records_shuffled(asia(spark, source, True), "l_suppkey") == 0
+
+
 def skewed_tables(spark, source):
     """A third of the orders on one customer, and of the lines on one order.
 
@@ -228,19 +268,20 @@ def skewed_tables(spark, source):
     return tables
 
 
-def test_hot_customer_order_and_supplier(spark, settings, tmp_path):
+def test_hot_customer_order_and_supplier(spark, settings, tmp_path, sellers_first):
     for name, df in skewed_tables(spark, "/root/testdata/sf0.1").items():
         df.repartition(16).write.parquet(str(tmp_path / f"{name}.parquet"))
     settings(
-        spark__sql__autoBroadcastJoinThreshold="6000",
+        # At 6000 the region's suppliers, hot one included, would be broadcast.
+        spark__sql__autoBroadcastJoinThreshold="-1" if sellers_first else "6000",
         spark__sql__shuffle__partitions="32",
         spark__sql__files__maxPartitionBytes="512KB",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="32KB",
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="32KB",
     )
-    df = contract.queries()["regional_revenue"](spark, str(tmp_path))
-    # The joins on customer and on order are both split.
-    assert final_plan(df).count("SortMergeJoin(skew=true)") == 2
+    df = asia(spark, str(tmp_path), sellers_first)
+    # The joins on customer and on order are split, and on supplier where it has a shuffle of its own.
+    assert final_plan(df).count("SortMergeJoin(skew=true)") == (3 if sellers_first else 2)
     _, rows = duck(tmp_path, contract.oracle_sql()["regional_revenue"])
     assert sorted(tuple(r) for r in df.collect()) == rows
 
@@ -256,7 +297,7 @@ def test_lines_stored_by_order_are_not_shuffled(spark, settings, tmp_path):
     try:
         tables["lineitem"] = spark.table("lines_by_order")
         settings(spark__sql__autoBroadcastJoinThreshold="6000")
-        df = regional_revenue(**tables, region_name="ASIA", **PERIOD)
+        df = regional_revenue(**tables, region_name="ASIA", **PERIOD, sellers_first=False)
         plan = final_plan(df)
         assert "Exchange hashpartitioning(l_orderkey" not in plan
         assert "Exchange hashpartitioning(o_orderkey" in plan
