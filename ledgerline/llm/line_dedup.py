@@ -22,7 +22,9 @@ dropped get the remaining (blank or short) lines; repeated rows fare alike.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -35,25 +37,27 @@ from ledgerline.llm.common import cut
 LEADING, SEGMENTS = 3, 4
 #: Shortest line whose segments may be left open.
 OPEN_FROM = 8
-_FIELD = re.compile(rb"\S*[0-9]\S*")
+_DIGIT = re.compile(rb"[0-9]")
 _KEYS = "doc_id bigint, digest bigint, key bigint, lines array<int>"
 
 
 def templates(line: bytes, min_words: int) -> list[int]:
     """Hashes of the templates a line belongs to."""
-    words = _FIELD.sub(b"<*>", line).split()
+    words = line.split()
     if len(words) < min_words:
         return []
-    path = b"%d %s" % (len(words), b" ".join(words[:LEADING]))
-    rest = words[LEADING:]
-    edges = [len(rest) * k // SEGMENTS for k in range(SEGMENTS + 1)]
-    parts = [b" ".join(rest[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-    keys = [xxhash.xxh3_64_intdigest(b"\n".join([path, *parts]))]
+    if _DIGIT.search(line):
+        words = [b"<*>" if _DIGIT.search(word) else word for word in words]
+    edges = [LEADING + (len(words) - LEADING) * k // SEGMENTS for k in range(SEGMENTS + 1)]
+    parts = [xxhash.xxh3_64_digest(b" ".join(words[a:b])) for a, b in pairwise([0, *edges])]
+    parts.append(b"%d words" % len(words))
+    keys = [xxhash.xxh3_64_digest(b"".join(parts))]
     if len(words) >= OPEN_FROM:
-        for k in range(SEGMENTS):
-            some = [path, *parts[:k], b"<*> %d" % k, *parts[k + 1 :]]
-            keys.append(xxhash.xxh3_64_intdigest(b"\n".join(some)))
-    return [key - (1 << 64) if key >> 63 else key for key in keys]
+        for k in range(1, SEGMENTS + 1):
+            closed, parts[k] = parts[k], b"segment open"
+            keys.append(xxhash.xxh3_64_digest(b"".join(parts)))
+            parts[k] = closed
+    return list(struct.unpack(f"<{len(keys)}q", b"".join(keys)))
 
 
 def _keyed(docs: DataFrame, min_words: int) -> DataFrame:
