@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-BITS = 13
+BITS = 15
 FIT_ROWS = 2_000
 CENTROIDS = 3
 #: Rejected below this share of the similarity that all but the most distant
 #: twentieth of a centroid's own texts reach.
-REJECT = 0.25
+REJECT = 0.08
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)

@@ -19,10 +19,11 @@ from ledgerline.llm import (
     token_counts,
     topk,
 )
-from ledgerline.llm.common import shared_folder
+from ledgerline.llm.common import shared_folder, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

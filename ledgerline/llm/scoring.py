@@ -277,7 +277,7 @@ def score(
     docs: DataFrame,
     *,
     order: int = 2,
-    prior: float = 4.0,
+    prior: float = 32.0,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
     folds: int = 7,

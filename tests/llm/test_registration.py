@@ -1,4 +1,7 @@
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -16,3 +19,18 @@ def test_one_query_per_operator():
 def test_query_covers_its_table(spark, name):
     rows = contract.queries()[name](spark, str(SMALL)).count()
     assert rows == (110 if name.startswith("op6") else 200)
+
+
+def test_runs_from_any_folder(tmp_path):
+    """Executors' Python gets the code with the query, not from where it runs."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(contract.__file__).rpartition('/')[0]!r})\n"
+        "from ledgerline.session import local_session\n"
+        "spark = local_session(2, memory='2g')\n"
+        "import __spark_entry__ as e\n"
+        "for name in ('op10_nearest_centroid', 'op5_wu_manber', 'op2_bbit_minhash'):\n"
+        f"    assert e.queries()[name](spark, {str(SMALL)!r}).count() == 200\n"
+        f"assert e.queries()['pipeline'](spark, {str(SMALL)!r}).count() > 0\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
