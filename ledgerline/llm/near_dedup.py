@@ -12,8 +12,8 @@ a class, and only classes are compared:
    it, and a group of any size gives few pairs.
 3. Of each such pair the packed bits are compared by bit counts. Unlike
    minima agree in a quarter of cases, so the similarity is estimated as
-   (agreeing share - 1/4) / (3/4). Pairs below 0.55, over five standard
-   errors under 0.75, are left out.
+   (agreeing share - 1/4) / (3/4). Pairs below 0.6, 4.4 standard errors
+   under 0.75, are left out: 5 in 1,000,000 that are just alike enough.
 4. For each class its most similar partner is confirmed on full sets of
    64-bit shingle hashes, which joins most of each group.
 5. What is still apart gets a second chance: under band keys with up to 64
@@ -52,7 +52,7 @@ _LONGS = -(-MINIMA * BITS // 64)
 #: Percent of the union that linked sets have in common.
 PERCENT = 75
 #: Least estimated similarity of a pair that is confirmed on full sets.
-ESTIMATE = 0.55
+ESTIMATE = 0.6
 #: Classes under one band key up to which all that are still apart are paired.
 CROWD = 64
 
