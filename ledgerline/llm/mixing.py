@@ -25,6 +25,8 @@ columns are ignored by `mix`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,11 +99,12 @@ def _closest(pool: DataFrame, room: DataFrame) -> DataFrame:
     )
 
 
-def _round(pool: DataFrame, room: DataFrame, r: int) -> DataFrame:
+def _round(pool: DataFrame, room: DataFrame, r: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Where the words of each source run out when taking `pool` by rank.
 
     Returns per source the bin, the last rank and tie taken in it (null:
-    none), and the words left. No bin: everything fitted.
+    none), and the words left. No bin: everything fitted. `small` marks a
+    table with a row per source for a broadcast, if there are few enough.
     """
     fine = cut(pool.groupBy("source_no", "bin").agg(F.sum("size").alias("words")))
     group = F.floor(F.col("bin") / _GROUP).cast("int")
@@ -109,7 +112,7 @@ def _round(pool: DataFrame, room: DataFrame, r: int) -> DataFrame:
     ordered = Window.partitionBy("source_no").orderBy("group")
     edge = (
         coarse.withColumn("upto", F.sum("words").over(ordered))
-        .join(F.broadcast(room), "source_no")
+        .join(small(room), "source_no")
         .where(F.col("upto") > F.col("room"))
         .groupBy("source_no")
         .agg(F.min(F.struct("group", (F.col("upto") - F.col("words")).alias("used"))).alias("edge"))
@@ -120,7 +123,7 @@ def _round(pool: DataFrame, room: DataFrame, r: int) -> DataFrame:
         fine.withColumn("group", group)
         .join(edge, ["source_no", "group"])
         .withColumn("upto", F.col("used") + F.sum("words").over(ordered))
-        .join(F.broadcast(room), "source_no")
+        .join(small(room), "source_no")
         .where(F.col("upto") > F.col("room"))
         .groupBy("source_no")
         .agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("used"))).alias("edge"))
@@ -128,10 +131,10 @@ def _round(pool: DataFrame, room: DataFrame, r: int) -> DataFrame:
     )
     ordered = Window.partitionBy("source_no").orderBy("rank", "tie")
     last = (
-        pool.join(F.broadcast(edge), "source_no")
+        pool.join(small(edge), "source_no")
         .where(F.col("bin") == F.col(f"bin_{r}"))
         .withColumn("upto", F.col("used") + F.sum("size").over(ordered))
-        .join(F.broadcast(room), "source_no")
+        .join(small(room), "source_no")
         .where(F.col("upto") <= F.col("room"))
         .groupBy("source_no")
         .agg(F.max(F.struct("rank", "tie", "upto")).alias("last"))
@@ -165,6 +168,7 @@ def mix(
     rounds: int = 3,
     odds: Column | None = None,
     keep: tuple[str, ...] = (),
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Copies of each document that bring every source near its target.
 
@@ -172,7 +176,7 @@ def mix(
     likely than others (default: alike). `keep` names columns of `docs` to
     return beside doc_id, size, source_size, target, taken and copies.
     The number of sources is taken to be small enough for one task; their
-    table is broadcast below BROADCAST_BYTES and joined by shuffles above.
+    table is broadcast below `broadcast_bytes` and joined by shuffles above.
     """
     sized = docs.select(
         F.col("doc_id"),
@@ -193,7 +197,7 @@ def mix(
         .select("t.*", "s.odds_size")
     )
     bytes_ = sources.agg(F.sum(F.lit(64) + F.coalesce(F.octet_length("source"), F.lit(0)))).first()[0]
-    small = F.broadcast if (bytes_ or 0) < BROADCAST_BYTES else lambda frame: frame
+    small = F.broadcast if (bytes_ or 0) < broadcast_bytes else lambda frame: frame
 
     def ranked(rows: DataFrame, state: DataFrame) -> DataFrame:
         rows = rows.alias("d").join(
@@ -226,7 +230,7 @@ def mix(
         pool = ranked(narrow, before).where(
             (F.col("chance") > 0) & (F.col("size") <= F.col("room")) & ~_drawn(r)
         ).select("source_no", "bin", "rank", "tie", "size")
-        found = _round(pool, room, r)
+        found = _round(pool, room, r, small)
         state = cut(state.join(found.drop("room"), "source_no"))
         room = found.select("source_no", "room")
     left = ranked(narrow, state.join(room, "source_no")).where((F.col("chance") > 0) & ~_drawn(rounds))
