@@ -65,11 +65,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _squeezed(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u8").tobytes(), 1)
+    """Compressed, in the fewest bytes each that hold the largest, after their number."""
+    width = np.min_scalar_type(int(counts.max(initial=0))).itemsize
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
 def _loosened(counts: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(counts), "<u8").astype(np.int64)
+    return np.frombuffer(zlib.decompress(counts[1:]), f"<u{counts[0]}").astype(np.int64)
 
 
 class Block:
