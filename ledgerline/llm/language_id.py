@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,8 @@ CENTROIDS = 3
 #: twentieth of a centroid's own texts reach.
 REJECT = 0.08
 
+#: Texts whose vectors a worker holds at once, 4 MB.
+_AT_ONCE = 32
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 _RESULT = "lang_pred string, score double, rejected boolean"
@@ -85,8 +86,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
         known = [i for i, text in enumerate(texts) if self.languages and has_letter(text)]
-        for first in range(0, len(known), 128):
-            some = known[first : first + 128]
+        for first in range(0, len(known), _AT_ONCE):
+            some = known[first : first + _AT_ONCE]
             similar = vectors([texts[i] for i in some], self.idf) @ self.centroids.T
             best = similar.argmax(1)
             for i, j, score in zip(some, best, similar.max(1), strict=True):
@@ -181,11 +182,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Columns `doc` (the given row) and `found` (lang_pred, score, rejected)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(_RESULT)
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_RESULT)
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, kinds = ["lang_pred", "score", "rejected"], [pa.string(), pa.float64(), pa.bool_()]
         for texts in batches:
-            rows = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
+            rows = []
+            for first in range(0, len(texts), _AT_ONCE):
+                rows += shared.value.predict(texts.slice(first, _AT_ONCE).to_pylist())
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.StructArray.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names
+            )
 
     rows = docs.select(F.struct("*").alias("doc"))
     return rows.select("doc", predicted(F.col("doc.text")).alias("found"))

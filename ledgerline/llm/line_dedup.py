@@ -26,7 +26,6 @@ import struct
 from collections.abc import Iterator
 from itertools import pairwise
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -87,20 +86,24 @@ def _keyed(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(keyed, _KEYS)
 
 
-def _without(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, drop in zip(texts, dropped, strict=True):
-        if not isinstance(text, str):
-            rows.append((None, 0, 0))
-            continue
-        lines = text.split("\n")
-        if drop is None or not len(drop):
-            rows.append((text, len(lines), 0))
-            continue
-        gone = set(map(int, drop))
-        kept = [line for number, line in enumerate(lines) if number not in gone]
-        rows.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
-    return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
+def _without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
+    """What is left of each text; a few at a time, so that one batch does not exist twice."""
+    names, kinds = ["text", "n_lines", "n_dropped"], [pa.string(), pa.int64(), pa.int64()]
+    parts = []
+    for first in range(0, len(texts), 256):
+        rows = []
+        some = (array.slice(first, 256).to_pylist() for array in (texts, dropped))
+        for text, drop in zip(*some, strict=True):
+            if text is None:
+                rows.append((None, 0, 0))
+                continue
+            lines, gone = text.split("\n"), set(drop or ())
+            kept = [line for number, line in enumerate(lines) if number not in gone]
+            rows.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        parts.append(pa.StructArray.from_arrays(columns, names))
+    whole = pa.struct(list(zip(names, kinds, strict=True)))
+    return pa.concat_arrays(parts) if parts else pa.array([], whole)
 
 
 def drop_lines(docs: DataFrame, *, min_texts: int = 5, min_words: int = 4) -> DataFrame:
@@ -124,7 +127,7 @@ def drop_lines(docs: DataFrame, *, min_texts: int = 5, min_words: int = 4) -> Da
         .withColumnsRenamed({"doc_id": "gone_id", "digest": "gone_digest"})
     )
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
-    without = F.pandas_udf(_without, "text string, n_lines bigint, n_dropped bigint")
+    without = F.arrow_udf(_without, "text string, n_lines bigint, n_dropped bigint")
     return rows.join(drops, same, "left").select("doc", without("doc.text", "gone").alias("left"))
 
 
