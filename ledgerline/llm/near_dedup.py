@@ -16,14 +16,17 @@ a class, and only classes are compared:
    under 0.75, are left out: 5 in 1,000,000 that are just alike enough.
 4. For each class its most similar partner is confirmed on full sets of
    64-bit shingle hashes, which joins most of each group.
-5. What is still apart gets a second chance: under band keys with up to 64
-   classes, all pairs whose ends are in different components; and the other
-   pairs of step 2 of which that holds. They are estimated and confirmed
-   alike.
-
-A link can be missed only between classes of which none is central, that
-share large band keys alone; in a group of 2,411 copies edited to a median
-similarity of 0.6, with 575,310 links, no component was split.
+5. What is still apart is compared whatever the size of a key: under each
+   band key with more than one component, its classes are dealt into pieces
+   of about 256, and pieces are compared with pieces, signature by signature,
+   until each pair in different components is estimated. A component of 256
+   classes or more has pieces of its own, which are not compared with each
+   other. Pairs that may be alike are confirmed as in step 4.
+
+Full sets are compared in cells of a grid of hashed nodes, so a set is sent
+once to each cell that has a pair of it, not once for each pair. All pairs
+that share a band are met; their number under a key grows with the square of
+the components under it.
 
 Defined results: documents without words (null, empty) have an empty set
 and are linked with nothing; fewer than five words make one shingle;
@@ -36,7 +39,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -53,8 +55,10 @@ _LONGS = -(-MINIMA * BITS // 64)
 PERCENT = 75
 #: Least estimated similarity of a pair that is confirmed on full sets.
 ESTIMATE = 0.6
-#: Classes under one band key up to which all that are still apart are paired.
-CROWD = 64
+#: Classes that make one piece of a band key, about.
+PIECE = 256
+#: Bytes of full sets in a row or column of cells, about, and the least number of these.
+_CELL_BYTES, _LEAST_CELLS = 8 << 20, 16
 
 _random = np.random.Generator(np.random.PCG64(2))
 _MULTIPLY = _random.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -157,15 +161,62 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(left, right, strict=True):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        small, large = (a, b) if len(a) < len(b) else (b, a)
-        at = np.searchsorted(large, small)
-        common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-        out.append(100 * common >= PERCENT * (len(a) + len(b) - common))
-    return pd.Series(out, dtype=bool)
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alike pairs of rows sorted by cell, in each of which the sets come before the pairs."""
+    cell, sets = None, {}
+    for batch in batches:
+        out: tuple[list, list] = ([], [])
+        columns = (batch.column(c).to_pylist() for c in ("cell", "a", "b"))
+        for at, (own, a, b) in enumerate(zip(*columns, strict=True)):
+            if own != cell:
+                cell, sets = own, {}
+            if b is None:
+                sets[a] = np.frombuffer(batch.column("members")[at].as_py(), np.uint64)
+            elif a in sets and b in sets and _alike(sets[a], sets[b]):
+                out[0].append(a)
+                out[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+
+def _columns(piece: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, root, n_shingles and bits of a piece."""
+    node, root, size = (piece.field(c).to_numpy() for c in ("node", "root", "n_shingles"))
+    return node, root, size, piece.field("bits").flatten().to_numpy().view(np.uint64).reshape(-1, _LONGS)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs from two pieces (or within one) that are apart and may be alike."""
+    # A pair of bits differs if either does; 0x5555... picks one place per pair.
+    places, chance = np.uint64(0x5555555555555555), 0.5**BITS
+    most = int(MINIMA * (1 - chance - ESTIMATE * (1 - chance)) + 1e-6)
+    for batch in batches:
+        for at in range(batch.num_rows):
+            node, root, size, bits = _columns(batch.column("left")[at].values)
+            others, other_root, other_size, other_bits = _columns(batch.column("right")[at].values)
+            within = batch.column("within")[at].as_py()
+            found: tuple[list, list] = ([], [])
+            for first in range(0, len(node), PIECE):
+                own = slice(first, first + PIECE)
+                unlike = np.zeros((len(node[own]), len(others)), np.int16)
+                for k in range(_LONGS):
+                    odd = bits[own, k, None] ^ other_bits[None, :, k]
+                    unlike += np.bitwise_count((odd | (odd >> np.uint64(1))) & places)
+                a, b = size[own, None], other_size[None, :]
+                near = (unlike <= most) & (root[own, None] != other_root[None, :])
+                near &= 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+                if within:
+                    near &= node[own, None] > others[None, :]
+                i, j = np.nonzero(near)
+                found[0].append(np.maximum(node[own][i], others[j]))
+                found[1].append(np.minimum(node[own][i], others[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "b"])
 
 
 def crowds(classes: DataFrame) -> DataFrame:
@@ -192,21 +243,45 @@ def central_pairs(crowded: DataFrame) -> DataFrame:
 
 
 def apart_pairs(crowded: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) under keys of up to CROWD nodes whose ends are in different components."""
-    few = F.filter("shared", lambda s: s["crowd"] <= CROWD)
-    rows = (
-        crowded.select("node", F.transform(few, lambda s: s["band"]).alias("few"))
-        .join(classes.select("node", "n_shingles"), "node")
-        .join(roots, "node", "left")
-        .select("node", "n_shingles", F.coalesce("root", "node").alias("root"), F.explode("few").alias("band"))
+    """Pairs (a, b) that share a key, are in different components and may be alike by estimate."""
+    keyed = cut(
+        crowded.join(roots, "node", "left").select(
+            "node", F.coalesce("root", "node").alias("root"), F.explode("shared.band").alias("band")
+        )
+    )
+    held = cut(keyed.groupBy("band", "root").agg(F.count("*").alias("n")))
+    large = F.col("n") >= PIECE
+    mixed = held.groupBy("band").agg(
+        F.count("*").alias("roots"), F.sum(F.when(~large, F.col("n"))).alias("rest")
+    )
+    # A large component has pieces of its own; the others share theirs.
+    held = cut(
+        held.join(mixed.where(F.col("roots") > 1), "band").select(
+            "band",
+            "root",
+            F.when(large, F.col("root")).alias("own"),
+            F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / PIECE).alias("pieces"),
+        )
+    )
+    number = F.pmod(F.xxhash64("node"), F.col("pieces"))
+    piece = F.struct(F.col("own").isNotNull().alias("is_own"), F.coalesce("own", F.lit(0)).alias("own"), number.alias("number"))
+    placed = keyed.join(held, ["band", "root"]).select("node", "root", "band", piece.alias("piece"))
+    members = F.collect_list(F.struct("node", "root", "n_shingles", "bits"))
+    pieces = cut(
+        placed.join(classes.select("node", "n_shingles", "bits"), "node")
+        .groupBy("band", "piece")
+        .agg(members.alias("members"))
     )
-    rows = cut(rows)
-    other = rows.toDF("other", "n_other", "other_root", "band")
-    fits = 100 * F.least("n_shingles", "n_other") >= PERCENT * F.greatest("n_shingles", "n_other")
-    met = rows.join(other, "band").where(
-        (F.col("node") > F.col("other")) & (F.col("root") != F.col("other_root")) & fits
+    ids = pieces.select("band", "piece")
+    same = F.col("piece.is_own") & F.col("other.is_own") & (F.col("piece.own") == F.col("other.own"))
+    meetings = ids.join(ids.toDF("band", "other"), "band").where((F.col("piece") <= F.col("other")) & ~same)
+    met = (
+        cut(meetings)
+        .join(pieces.toDF("band", "piece", "left"), ["band", "piece"])
+        .join(pieces.toDF("band", "other", "right"), ["band", "other"])
+        .select("left", "right", (F.col("piece") == F.col("other")).alias("within"))
     )
-    return _ordered(met)
+    return met.mapInArrow(_met, "a bigint, b bigint").distinct()
 
 
 def _ordered(met: DataFrame) -> DataFrame:
@@ -243,10 +318,17 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, firsts: DataFrame) -> DataFra
         wanted = F.broadcast(wanted)
     texts = bodies.join(wanted, "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets, "node bigint, members binary"))
-    alike = F.pandas_udf(_alike, "boolean")
-    left = pairs.select("a", "b").join(sets.toDF("a", "left_set"), "a")
-    both = left.join(sets.toDF("b", "right_set"), "b")
-    return cut(both.where(alike("left_set", "right_set")).select("a", "b").distinct())
+    size = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    cells = max(_LEAST_CELLS, -(-size // _CELL_BYTES))
+    place = lambda node: F.pmod(F.xxhash64(node), F.lit(cells))
+    # A pair is the same either way round, and so is its cell.
+    low, high = F.least(place("a"), place("b")), F.greatest(place("a"), place("b"))
+    placed = cut(pairs.select((low * cells + high).alias("cell"), "a", "b"))
+    needed = placed.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = needed.join(sets, "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "members")
+    rows = rows.union(placed.select("cell", "a", "b", F.lit(None).cast("binary").alias("members")))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
+    return cut(rows.mapInArrow(_confirmed, "a bigint, b bigint").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -300,12 +382,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = cut(best.select("a", F.col("best.b").alias("b")))
     links = confirmed(best, bodies, firsts)
     roots = components(links)
-    more = pairs.select("a", "b")
-    for side in ("a", "b"):
-        more = more.join(roots.toDF(side, f"root_{side}"), side, "left")
-    more = more.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = more.union(apart_pairs(crowded, classes, roots)).distinct().join(best, ["a", "b"], "left_anti")
-    links = links.union(confirmed(estimated(more, classes), bodies, firsts))
+    more = cut(apart_pairs(crowded, classes, roots).join(best, ["a", "b"], "left_anti"))
+    links = links.union(confirmed(more, bodies, firsts))
     roots = components(links)
 
     members = firsts.join(roots, "node", "left").select(

@@ -111,3 +111,23 @@ def test_edges(spark):
 def test_partitions_agree(spark, slices):
     docs = documents(spark)
     assert as_rows(near_duplicates(docs.repartition(slices))) == as_rows(near_duplicates(docs))
+
+
+def test_crowded_keys_are_compared_throughout(spark):
+    """Under keys of any size, and piece by piece, exactly the pairs alike by estimate are met."""
+    rng = np.random.default_rng(7)
+    n, large = 700, 300
+    signature = lambda: rng.integers(-(1 << 63), (1 << 63) - 1, 8, np.int64, endpoint=True).tolist()
+    bits = [signature() for _ in range(n)]
+    alike = [(1, 650), (400, 401), (2, 699), (500, 3), (10, 11)]
+    for a, b in alike:
+        bits[b] = bits[a]
+    classes = spark.createDataFrame(
+        [(i, 400, bits[i]) for i in range(n)], "node bigint, n_shingles bigint, bits array<bigint>"
+    )
+    shared = "node bigint, score bigint, shared array<struct<band:bigint,crowd:bigint>>"
+    crowded = spark.createDataFrame([(i, 2 * n, [(5, n), (6, n)]) for i in range(n)], shared)
+    # One component of 300 nodes, of which 10 and 11 are; all others are alone.
+    roots = spark.createDataFrame([(i, 0) for i in range(large)], "node bigint, root bigint")
+    found = sorted((r.a, r.b) for r in near_dedup.apart_pairs(crowded, classes, roots).collect())
+    assert found == sorted((max(p), min(p)) for p in alike if p != (10, 11))
