@@ -4,8 +4,14 @@ A text becomes a vector of hashed n-grams of its letters' bytes (two, three
 and four at a time, words set apart by blanks), weighted by log frequency
 and inverse document frequency and brought to length one. Each language has
 several centroids, found by spherical k-means over labelled texts; a text
-gets the language of the nearest by cosine. A text further from its nearest
-centroid than anything like that centroid's own texts is rejected.
+gets the language of the nearest by cosine.
+
+A text much further from its language than that language's own texts of its
+length is rejected. Similarity grows with length, so limits are set by
+language and number of different n-grams, doubling from band to band: a
+quarter of the sample, and its first 1, 2, 4, ... words as short texts, are
+compared with centroids of the other three quarters. A band with too few of
+them has the limit of the next shorter one, or none.
 
 The model is fitted on a sample of labelled rows, whole texts, of about
 `FIT_ROWS` rows at most: from each language those whose hashed id is below
@@ -33,9 +39,11 @@ UNKNOWN = "und"
 BITS = 15
 FIT_ROWS = 2_000
 CENTROIDS = 3
-#: Rejected below this share of the similarity that all but the most distant
-#: twentieth of a centroid's own texts reach.
-REJECT = 0.08
+#: Rejected below this share of the similarity that all but one in a hundred
+#: of a language's own texts of that length reach.
+REJECT, LEAST_QUANTILE = 1 / 3, 0.01
+#: Bands of n-gram counts, texts that set a band's limit at least, and words of short ones.
+LENGTHS, TRIALS, OPENINGS = 24, 20, (1, 2, 4, 8, 16, 32, 64, 128, 256)
 
 #: Texts whose vectors a worker holds at once, 4 MB.
 _AT_ONCE = 32
@@ -76,7 +84,7 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids of all languages, and the least similarity each accepts."""
+    """Centroids of all languages, and the least similarity each accepts in each band of lengths."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -88,11 +96,13 @@ class Model:
         known = [i for i, text in enumerate(texts) if self.languages and has_letter(text)]
         for first in range(0, len(known), _AT_ONCE):
             some = known[first : first + _AT_ONCE]
-            similar = vectors([texts[i] for i in some], self.idf) @ self.centroids.T
+            rows = vectors([texts[i] for i in some], self.idf)
+            similar = rows @ self.centroids.T
             best = similar.argmax(1)
-            for i, j, score in zip(some, best, similar.max(1), strict=True):
+            bands = _bands(np.count_nonzero(rows, axis=1))
+            for i, j, score, band in zip(some, best, similar.max(1), bands, strict=True):
                 score = min(1.0, max(0.0, float(score)))
-                out[i] = (self.languages[j], score, score < self.least[j])
+                out[i] = (self.languages[j], score, bool(score < self.least[j, band]))
         return out
 
 
@@ -113,29 +123,50 @@ def _clusters(rows: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return centres
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], k: int = CENTROIDS) -> Model:
-    """A model from (language, n-grams, counts) of each text."""
+def _bands(sizes: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(sizes, 1)).astype(int), 0, LENGTHS - 1)
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    dense = np.zeros((len(rows), 1 << BITS), np.float32)
+    for row, (found, counts) in zip(dense, rows, strict=True):
+        row[found] = (1 + np.log(counts)) * idf[found]
+        row /= max(np.linalg.norm(row), 1e-30)
+    return dense
+
+
+def _limits(centres: np.ndarray, trials: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """The least similarity accepted in each band of lengths."""
+    similar = np.array([s for i in range(0, len(trials), 64) for s in (_dense(trials[i : i + 64], idf) @ centres.T).max(1)])
+    bands = _bands(np.array([len(found) for found, _ in trials]))
+    limits, limit = np.zeros(LENGTHS), 0.0
+    for band in range(LENGTHS):
+        mine = similar[bands == band] if len(trials) else []
+        if len(mine) >= TRIALS:
+            limit = REJECT * float(np.quantile(mine, LEAST_QUANTILE))
+        limits[band] = limit
+    return limits
+
+
+def train(rows: list[tuple[str, int, bool, np.ndarray, np.ndarray]], k: int = CENTROIDS) -> Model:
+    """A model from language, opening (0: whole), trial or not, n-grams and counts of each text."""
+    whole = [row for row in rows if row[1] == 0]
     seen = np.zeros(1 << BITS)
-    for _, found, _ in rows:
-        seen[found] += 1
-    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    for row in whole:
+        seen[row[3]] += 1
+    idf = (np.log((1 + len(whole)) / (1 + seen)) + 1).astype(np.float32)
     centroids, languages, least = [], [], []
-    for language in sorted({row[0] for row in rows}):
-        own = [row[1:] for row in rows if row[0] == language]
-        dense = np.zeros((len(own), 1 << BITS), np.float32)
-        for row, (found, counts) in zip(dense, own, strict=True):
-            row[found] = (1 + np.log(counts)) * idf[found]
-            row /= max(np.linalg.norm(row), 1e-30)
-        centres = _clusters(dense, k)
-        similar = dense @ centres.T
-        nearest = similar.argmax(1)
-        for j, centre in enumerate(centres):
-            mine = similar[nearest == j, j]
+    for language in sorted({row[0] for row in whole}):
+        dense = _dense([row[3:] for row in whole if row[0] == language], idf)
+        learnt = ~np.array([row[2] for row in whole if row[0] == language])
+        trials = [row[3:] for row in rows if row[0] == language and row[2]]
+        limits = _limits(_clusters(dense[learnt], k), trials, idf) if learnt.any() else np.zeros(LENGTHS)
+        for centre in _clusters(dense, k):
             centroids.append(centre)
             languages.append(language)
-            least.append(REJECT * float(np.quantile(mine, 0.05)) if len(mine) else 0.0)
+            least.append(limits)
     shape = (len(centroids), 1 << BITS)
-    return Model(idf, np.array(centroids, np.float32).reshape(shape), languages, np.array(least))
+    return Model(idf, np.array(centroids, np.float32).reshape(shape), languages, np.array(least).reshape(-1, LENGTHS))
 
 
 def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
@@ -154,24 +185,28 @@ def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) ->
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (lang, *ngrams(text))
-                for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True)
-                if has_letter(text)
-            ]
+            rows = []
+            columns = (batch.column(c).to_pylist() for c in ("lang", "text", "spread"))
+            for lang, text, at in zip(*columns, strict=True):
+                trial = at % 4 == 0
+                words = text.split(None, max(OPENINGS))[: max(OPENINGS)] if trial else []
+                openings = [(n, " ".join(words[:n])) for n in OPENINGS if n < len(words)]
+                rows += [(lang, n, trial, *ngrams(part)) for n, part in [(0, text), *openings] if has_letter(part)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1].astype("<u2").tobytes() for r in rows], pa.binary()),
-                    pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()),
+                    pa.array([r[1] for r in rows], pa.int32()),
+                    pa.array([r[2] for r in rows], pa.bool_()),
+                    pa.array([r[3].astype("<u2").tobytes() for r in rows], pa.binary()),
+                    pa.array([r[4].astype("<u4").tobytes() for r in rows], pa.binary()),
                 ],
-                ["lang", "grams", "counts"],
+                ["lang", "opening", "trial", "grams", "counts"],
             )
 
-    rows = sample.mapInArrow(featured, "lang string, grams binary, counts binary").collect()
+    rows = sample.mapInArrow(featured, "lang string, opening int, trial boolean, grams binary, counts binary").collect()
     return train(
         [
-            (r[0], np.frombuffer(r[1], "<u2").astype(np.int64), np.frombuffer(r[2], "<u4"))
+            (*r[:3], np.frombuffer(r[3], "<u2").astype(np.int64), np.frombuffer(r[4], "<u4"))
             for r in sorted(rows)
         ],
         k,

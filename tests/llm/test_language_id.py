@@ -63,3 +63,23 @@ def test_edges(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in predict_languages(unlabelled).collect()} == {UNKNOWN}
     assert identified(docs).columns == docs.columns
+
+
+def test_unlearnt_latin_languages_and_junk_are_rejected(spark):
+    docs = documents(spark, MEDIUM)
+    model = fit(docs.where(learns()))
+    strange = [
+        "wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw sa oni obdarzeni rozumem",
+        "tutti gli esseri umani nascono liberi ed eguali in dignita e diritti essi sono dotati di ragione",
+        "kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki",
+        "butun insanlar hur haysiyet ve haklar bakimindan esit dogarlar akil ve vicdana sahiptirler",
+        "watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri",
+    ]
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    strange += [" ".join(letters(rng.integers(2, 9)) for _ in range(n)) for n in (5, 20, 100, 1000)]
+    assert [rejected for _, _, rejected in model.predict(strange)] == [True] * len(strange)
+    held = [r.text for r in docs.where(~learns() & F.col("text").isNotNull()).collect()]
+    openings = [" ".join(text.split()[:n]) for text in held for n in (3, 6, 12)]
+    clean = [text for text in held + openings if has_letter(text)]
+    assert np.mean([rejected for _, _, rejected in model.predict(clean)]) < 0.002
