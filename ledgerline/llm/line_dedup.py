@@ -10,10 +10,12 @@ meet in one template. Shorter lines have the first only.
 A template recurs if it occurs in `min_texts` different document texts at
 least; exact copies of a document count once, they are no boilerplate. The
 lines of recurring templates are dropped everywhere but in the document
-with the smallest id, so that no content goes altogether.
+with the smallest id, so that no content goes altogether. Lines of fewer than
+`min_words` words recur from `short_texts` texts on; without that number they
+stay. The registered query and the pipeline take the options in `WHOLE`: two
+texts for lines of four words or more, 20 for shorter ones.
 
-Defined results: lines end at LF; lines of fewer than `min_words` words are
-never dropped; documents that are null, empty or lose nothing keep their
+Defined results: lines end at LF; lines without words are never dropped; documents that are null, empty or lose nothing keep their
 text as it is; a document without an id never counts as a template's first
 one unless no other holds it; documents of which every line of words is
 dropped get the remaining (blank or short) lines; repeated rows fare alike.
@@ -36,8 +38,10 @@ from ledgerline.llm.common import cut
 LEADING, SEGMENTS = 3, 4
 #: Shortest line whose segments may be left open.
 OPEN_FROM = 8
+#: Options under which every repeat counts.
+WHOLE = {"min_texts": 2, "min_words": 4, "short_texts": 20}
 _DIGIT = re.compile(rb"[0-9]")
-_KEYS = "doc_id bigint, digest bigint, key bigint, lines array<int>"
+_KEYS = "doc_id bigint, digest bigint, key bigint, short boolean, lines array<int>"
 
 
 def templates(line: bytes, min_words: int) -> list[int]:
@@ -59,28 +63,33 @@ def templates(line: bytes, min_words: int) -> list[int]:
     return list(struct.unpack(f"<{len(keys)}q", b"".join(keys)))
 
 
-def _keyed(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per document and template: the lines that have it."""
+def _keyed(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
+    """A row per document and template: the lines that have it, with short lines or without."""
+    least = 1 if short else min_words
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 some = batch.slice(first, 512)
-                out: tuple[list, list, list, list] = ([], [], [], [])
+                out: tuple[list, list, list, list, list] = ([], [], [], [], [])
                 columns = (some.column(c).to_pylist() for c in ("doc_id", "digest", "text"))
                 for doc_id, digest, text in zip(*columns, strict=True):
                     own: dict[int, list[int]] = {}
+                    brief = set()
                     for number, line in enumerate((text or b"").split(b"\n")):
-                        for key in templates(line, min_words):
+                        for key in templates(line, least):
                             own.setdefault(key, []).append(number)
+                            if short and len(line.split(None, min_words)) < min_words:
+                                brief.add(key)
                     out[0].extend([doc_id] * len(own))
                     out[1].extend([digest] * len(own))
                     out[2].extend(own)
-                    out[3].extend(own.values())
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                    out[3].extend(key in brief for key in own)
+                    out[4].extend(own.values())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, kind) for values, kind in zip(out, kinds, strict=True)],
-                    ["doc_id", "digest", "key", "lines"],
+                    ["doc_id", "digest", "key", "short", "lines"],
                 )
 
     return docs.mapInArrow(keyed, _KEYS)
@@ -106,7 +115,9 @@ def _without(texts: pa.Array, dropped: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], whole)
 
 
-def drop_lines(docs: DataFrame, *, min_texts: int = 5, min_words: int = 4) -> DataFrame:
+def drop_lines(
+    docs: DataFrame, *, min_texts: int = 5, min_words: int = 4, short_texts: int | None = None
+) -> DataFrame:
     """Columns `doc` (the given row) and `left` (text, n_lines, n_dropped)."""
     rows = docs.select(
         F.struct("*").alias("doc"), F.xxhash64("text").alias("digest"), F.col("doc_id").cast("bigint").alias("id")
@@ -114,12 +125,13 @@ def drop_lines(docs: DataFrame, *, min_texts: int = 5, min_words: int = 4) -> Da
     bodies = docs.select(
         F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary")
     )
-    keyed = _keyed(bodies, min_words)
-    often = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("key"))
-    met = cut(keyed.join(often, "key"))
-    firsts = met.groupBy("key", "digest").agg(F.min("doc_id").alias("first_id"))
-    firsts = firsts.groupBy("key").agg(F.count("*").alias("texts"), F.min("first_id").alias("first_id"))
-    recurring = cut(firsts.where(F.col("texts") >= min_texts).select("key", "first_id"))
+    keyed = _keyed(bodies, min_words, short_texts is not None)
+    least = F.when(F.col("short"), F.lit(short_texts)).otherwise(F.lit(min_texts))
+    often = keyed.groupBy("key", "short").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    met = cut(keyed.join(cut(often.select("key").distinct()), "key"))
+    firsts = met.groupBy("key", "short", "digest").agg(F.min("doc_id").alias("first_id"))
+    firsts = firsts.groupBy("key", "short").agg(F.count("*").alias("texts"), F.min("first_id").alias("first_id"))
+    recurring = cut(firsts.where(F.col("texts") >= least).select("key", "first_id"))
     others = met.join(recurring, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     drops = cut(
         others.groupBy("doc_id", "digest")

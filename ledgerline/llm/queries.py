@@ -65,7 +65,7 @@ def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
 
 
 def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

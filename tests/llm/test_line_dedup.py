@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+from ledgerline.llm import queries
 from ledgerline.llm.line_dedup import drop_lines, line_report, templates, without_lines
 from tests.llm.cases import MEDIUM, as_rows, documents, edge_docs, no_docs
 
@@ -86,3 +87,13 @@ def test_edges(spark):
     assert without_lines(docs).count() == 12
     assert without_lines(docs).columns == docs.columns
     assert line_report(no_docs(spark)).collect() == []
+
+
+def test_registered_query_drops_every_repeat(spark, tmp_path):
+    texts = [f"page {chr(97 + i) * 4} of its own kind here\nLes." for i in range(20)]
+    texts[3] += "\na line that stands in two texts"
+    texts[7] += "\na line that stands in two texts\nSeldom."
+    texts[9] += "\nSeldom."
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.n_dropped for r in queries.QUERIES["op9_template_tree"](spark, str(tmp_path)).collect()}
+    assert rows == {0: 0, 7: 2} | {i: 1 for i in range(1, 20) if i != 7}
