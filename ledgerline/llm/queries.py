@@ -6,6 +6,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm import (
     decontamination,
@@ -53,7 +54,8 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revisits.resolve(revisits.crawl_log(_table(spark, sf_dir, "pages")))
+    resolved = revisits.resolve(revisits.crawl_log(_table(spark, sf_dir, "pages")))
+    return resolved.withColumn("payload", F.md5("payload"))
 
 
 def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ not-modified answer may bring.
 A URL may hold any share of the records, so its time line is cut into
 slices, about the square root of the record count: within a slice a window
 finds the latest response, and the last response of each slice is carried
-on to the later ones.
+on to the later ones. Payloads may be whole bodies: windows and slices carry
+none, and each record gets its own after that, by the key of its response.
 
 Defined results: full responses pass with status `full`; a revisit is
 `resolved`, `mismatch` (an entity tag or modification time differs),
 `unvalidated` (no validator on both sides) or `orphan` (no earlier full
 response, or no URL or time); of responses of the same time the one with
-the larger record id is the latest; responses of that same time as the
+the larger record id is the latest, and of equal ids the larger payload counts; responses of that same time as the
 revisit are not earlier; null headers are empty, header names are compared
 in lower case and the last of equal names counts; other columns are ignored.
 """
@@ -80,7 +81,7 @@ def resolve(records: DataFrame) -> DataFrame:
     """A row per record: record_id, canonical_url, status, response_id, payload, headers.
 
     `records`: record_id long, url string, at long, kind (`response` or
-    `revisit`), payload string (digest or place of the body), headers
+    `revisit`), payload string (the body, or its digest or place), headers
     map<string,string>.
     """
     rows = records.select(
@@ -94,10 +95,12 @@ def resolve(records: DataFrame) -> DataFrame:
     n, first, last = rows.agg(F.count("*"), F.min("at"), F.max("at")).first()
     slices = max(1, math.isqrt(n))
     width = max(1, -(-((last or 0) - (first or 0) + 1) // slices))
-    rows = rows.withColumn("slice", F.floor((F.col("at") - F.lit(first or 0)) / width))
+    bodies = rows.where("is_full").select("record_id", "canonical_url", "at", "payload")
+    unplaced = rows.where(~(F.col("canonical_url").isNotNull() & F.col("at").isNotNull()))
+    rows = rows.drop("payload").withColumn("slice", F.floor((F.col("at") - F.lit(first or 0)) / width))
     # Without a URL or time nothing is earlier; such records would share a key.
     placed = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
-    answer = F.when(F.col("is_full"), F.struct("at", "record_id", "payload", "headers"))
+    answer = F.when(F.col("is_full"), F.struct("at", "record_id", "headers"))
     inside = (
         Window.partitionBy("canonical_url", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     )
@@ -111,11 +114,8 @@ def resolve(records: DataFrame) -> DataFrame:
         .drop("own")
     )
     joined = known.join(carried, ["canonical_url", "slice"]).withColumn("found", F.coalesce("near", "carried"))
-    fields = ["record_id", "canonical_url", "is_full", "payload", "headers"]
+    fields = ["record_id", "canonical_url", "at", "is_full", "headers"]
     kind = joined.schema["found"].dataType
-    joined = joined.select(*fields, "found").union(
-        rows.where(~placed).select(*fields, F.lit(None).cast(kind).alias("found"))
-    )
 
     def agree(name: str) -> Column:
         ours, theirs = _value(F.col("headers"), name), _value(F.col("found.headers"), name)
@@ -132,24 +132,44 @@ def resolve(records: DataFrame) -> DataFrame:
         .when(all_, "resolved")
         .otherwise("mismatch")
     )
+    judged = joined.select(*fields, "found").withColumn("status", status)
+    # The response whose body a record gets: its own, or the one it is resolved to.
+    at = F.when(F.col("is_full"), F.col("at")).when(F.col("status") == "resolved", F.col("found.at"))
+    number = F.when(F.col("is_full"), F.col("record_id")).otherwise(F.col("found.record_id"))
+    judged = judged.withColumns({"body_at": at, "body_id": number})
+    bodies = (
+        bodies.where(F.col("canonical_url").isNotNull() & F.col("at").isNotNull())
+        .groupBy(F.col("canonical_url").alias("body_url"), F.col("at").alias("own_at"), F.col("record_id").alias("own_id"))
+        .agg(F.max("payload").alias("payload"))
+    )
+    same = (
+        (F.col("canonical_url") == F.col("body_url"))
+        & (F.col("body_at") == F.col("own_at"))
+        & F.col("body_id").eqNullSafe(F.col("own_id"))
+    )
+    judged = judged.join(bodies, same, "left").select(*fields, "found", "status", "payload")
+    judged = judged.union(
+        unplaced.withColumn("found", F.lit(None).cast(kind))
+        .withColumn("status", F.when(F.col("is_full"), "full").otherwise("orphan"))
+        .select(*fields, "found", "status", F.when(F.col("is_full"), F.col("payload")).alias("payload"))
+    )
     brought = F.filter("headers", lambda e: e["key"].isin(*PERMITTED))
     stored = F.filter(
         "found.headers", lambda e: ~F.exists(brought, lambda new: new["key"] == e["key"])
     )
     merged = F.array_sort(F.concat(stored, brought))
-    resolved = F.col("status") == "resolved"
-    return joined.withColumn("status", status).select(
+    return judged.select(
         "record_id",
         "canonical_url",
         "status",
         F.when(~F.col("is_full"), F.col("found.record_id")).alias("response_id"),
-        F.when(resolved, F.col("found.payload")).when(F.col("is_full"), F.col("payload")).alias("payload"),
-        _rendered(F.when(resolved, merged).otherwise(F.col("headers"))).alias("headers"),
+        "payload",
+        _rendered(F.when(F.col("status") == "resolved", merged).otherwise(F.col("headers"))).alias("headers"),
     )
 
 
 def crawl_log(pages: DataFrame) -> DataFrame:
-    """Records made from a table of pages.
+    """Records made from a table of pages, bodies as payloads.
 
     Each page is a full response, revisited once later under another
     spelling of its URL, every third time with a stale entity tag; every
@@ -157,7 +177,7 @@ def crawl_log(pages: DataFrame) -> DataFrame:
     """
     page = F.col("page_id").cast("bigint")
     tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
-    rows = pages.select(page.alias("page"), "url", tag.alias("tag"), F.octet_length("html").alias("size"), F.md5("html").alias("body"))
+    rows = pages.select(page.alias("page"), "url", tag.alias("tag"), F.octet_length("html").alias("size"), F.col("html").cast("string").alias("body"))
 
     def headers(**fields: Column) -> Column:
         named = [part for name, value in fields.items() for part in (F.lit(name.replace("_", "-")), value)]

@@ -105,3 +105,12 @@ def test_edges(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     log = crawl_log(pages)
     assert resolve(log).count() == log.count() == 2 * 50 + 10
+
+
+def test_revisits_get_page_bodies(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    html = {4 * r.page_id: r.html for r in pages.collect()}
+    rows = resolve(crawl_log(pages)).collect()
+    resolved = [r for r in rows if r.status == "resolved"]
+    assert resolved and all(r.payload == html[r.response_id] for r in resolved)
+    assert sorted(r.payload for r in rows if r.status == "full") == sorted(html.values())
