@@ -14,27 +14,34 @@ compared with centroids of the other three quarters. A band with too few of
 them has the limit of the next shorter one, or none.
 
 The model is fitted on a sample of labelled rows, whole texts, of about
-`FIT_ROWS` rows at most: from each language those whose hashed id is below
-the share that its row count allows. It is a few MB however large the table.
+`FIT_ROWS` rows: from each language those whose hash is below the share that
+its row count allows. Texts become n-grams where they are read. A task per
+language then clusters its part of the sample as sparse rows, of at most
+32,768 n-grams whatever the length of a text; dense are only the centroids.
+The driver sees how many texts hold each n-gram, and the centroids: 384 kB a
+language.
 
 Defined results: texts that are null or hold no letter are `und` with score
 0 and count as rejected; with no labelled text every text is `und`; equal
-texts get equal results; repeated rows each get theirs; columns of `docs`,
-whatever their names, come back untouched in the struct `doc`.
+texts get equal results; repeated rows are learnt from once and each get
+theirs; columns of `docs`, whatever their names, come back untouched in the
+struct `doc`.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import BROADCAST_BYTES, cut
+
 UNKNOWN = "und"
 BITS = 15
 FIT_ROWS = 2_000
@@ -45,11 +52,16 @@ REJECT, LEAST_QUANTILE = 1 / 3, 0.01
 #: Bands of n-gram counts, texts that set a band's limit at least, and words of short ones.
 LENGTHS, TRIALS, OPENINGS = 24, 20, (1, 2, 4, 8, 16, 32, 64, 128, 256)
 
-#: Texts whose vectors a worker holds at once, 4 MB.
-_AT_ONCE = 32
+#: Texts a worker holds at once, and parts of the sample.
+_AT_ONCE, _PARTS = 256, 16
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 _RESULT = "lang_pred string, score double, rejected boolean"
+_SAMPLE = "lang string, spread bigint, opening int, trial boolean, grams binary, counts binary"
+_LEARNT = "lang string, number int, centre binary, least array<double>"
+
+#: Cells and weights of the n-grams that a text holds, of length one.
+Sparse = tuple[np.ndarray, np.ndarray]
 
 
 def has_letter(text: str | None) -> bool:
@@ -72,14 +84,9 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, counts[found]
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    """One row of length one per text."""
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        found, counts = ngrams(text)
-        row[found] = (1 + np.log(counts)) * idf[found]
-        row /= max(np.linalg.norm(row), 1e-30)
-    return out
+def vector(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> Sparse:
+    weights = (1 + np.log(counts)).astype(np.float32) * idf[found]
+    return found, weights / max(float(np.linalg.norm(weights)), 1e-30)
 
 
 @dataclass
@@ -91,126 +98,162 @@ class Model:
     languages: list[str]
     least: np.ndarray
 
+    def __post_init__(self):
+        self.columns = np.ascontiguousarray(self.centroids.T)
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k != "columns"}
+
+    def __setstate__(self, state):
+        vars(self).update(state)
+        self.__post_init__()
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
-        known = [i for i, text in enumerate(texts) if self.languages and has_letter(text)]
-        for first in range(0, len(known), _AT_ONCE):
-            some = known[first : first + _AT_ONCE]
-            rows = vectors([texts[i] for i in some], self.idf)
-            similar = rows @ self.centroids.T
-            best = similar.argmax(1)
-            bands = _bands(np.count_nonzero(rows, axis=1))
-            for i, j, score, band in zip(some, best, similar.max(1), bands, strict=True):
-                score = min(1.0, max(0.0, float(score)))
-                out[i] = (self.languages[j], score, bool(score < self.least[j, band]))
+        out = []
+        for text in texts:
+            if not (self.languages and has_letter(text)):
+                out.append((UNKNOWN, 0.0, True))
+                continue
+            found, weights = vector(*ngrams(text), self.idf)
+            similar = weights @ self.columns[found]
+            best = int(similar.argmax())
+            score = min(1.0, max(0.0, float(similar[best])))
+            out.append((self.languages[best], score, bool(score < self.least[best, _band(len(found))])))
         return out
 
 
-def _clusters(rows: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
+def _clusters(rows: list[Sparse], k: int, turns: int = 12) -> np.ndarray:
     """Spherical k-means. Starts from the mean's nearest row, then the rows furthest from all."""
-    first = int((rows @ rows.mean(0)).argmax())
-    chosen = [first]
-    near = rows @ rows[first]
+
+    def added(some: list[Sparse]) -> np.ndarray:
+        total = np.zeros(1 << BITS)
+        for found, weights in some:
+            total[found] += weights
+        return total
+
+    def similar(centre: np.ndarray) -> np.ndarray:
+        return np.array([weights @ centre[found] for found, weights in rows])
+
+    chosen = [int(similar(added(rows)).argmax())]
+    near = similar(added([rows[chosen[0]]]))
     while len(chosen) < min(k, len(rows)):
         chosen.append(int(near.argmin()))
-        near = np.maximum(near, rows @ rows[chosen[-1]])
-    centres = rows[chosen]
+        near = np.maximum(near, similar(added([rows[chosen[-1]]])))
+    centres = np.stack([added([rows[i]]) for i in chosen])
     for _ in range(turns):
-        nearest = (rows @ centres.T).argmax(1)
-        members = [rows[nearest == j] for j in range(len(centres))]
-        sums = np.stack([m.sum(0) for m in members if len(m)])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-30)
-    return centres
-
-
-def _bands(sizes: np.ndarray) -> np.ndarray:
-    return np.clip(np.log2(np.maximum(sizes, 1)).astype(int), 0, LENGTHS - 1)
+        nearest = np.stack([similar(centre) for centre in centres]).argmax(0)
+        sums = [added([row for row, own in zip(rows, nearest, strict=True) if own == j]) for j in np.unique(nearest)]
+        centres = np.stack([s / max(float(np.linalg.norm(s)), 1e-30) for s in sums])
+    return centres.astype(np.float32)
 
 
-def _dense(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
-    dense = np.zeros((len(rows), 1 << BITS), np.float32)
-    for row, (found, counts) in zip(dense, rows, strict=True):
-        row[found] = (1 + np.log(counts)) * idf[found]
-        row /= max(np.linalg.norm(row), 1e-30)
-    return dense
+def _band(grams: int) -> int:
+    return min(max(grams, 1).bit_length() - 1, LENGTHS - 1)
 
 
-def _limits(centres: np.ndarray, trials: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+def _limits(centres: np.ndarray, trials: list[Sparse]) -> list[float]:
     """The least similarity accepted in each band of lengths."""
-    similar = np.array([s for i in range(0, len(trials), 64) for s in (_dense(trials[i : i + 64], idf) @ centres.T).max(1)])
-    bands = _bands(np.array([len(found) for found, _ in trials]))
-    limits, limit = np.zeros(LENGTHS), 0.0
+    met: dict[int, list[float]] = {}
+    for found, weights in trials:
+        met.setdefault(_band(len(found)), []).append(float((centres[:, found] @ weights).max()))
+    limits, limit = [], 0.0
     for band in range(LENGTHS):
-        mine = similar[bands == band] if len(trials) else []
-        if len(mine) >= TRIALS:
-            limit = REJECT * float(np.quantile(mine, LEAST_QUANTILE))
-        limits[band] = limit
+        if len(met.get(band, ())) >= TRIALS:
+            limit = REJECT * float(np.quantile(met[band], LEAST_QUANTILE))
+        limits.append(limit)
     return limits
 
 
-def train(rows: list[tuple[str, int, bool, np.ndarray, np.ndarray]], k: int = CENTROIDS) -> Model:
-    """A model from language, opening (0: whole), trial or not, n-grams and counts of each text."""
-    whole = [row for row in rows if row[1] == 0]
-    seen = np.zeros(1 << BITS)
-    for row in whole:
-        seen[row[3]] += 1
-    idf = (np.log((1 + len(whole)) / (1 + seen)) + 1).astype(np.float32)
-    centroids, languages, least = [], [], []
-    for language in sorted({row[0] for row in whole}):
-        dense = _dense([row[3:] for row in whole if row[0] == language], idf)
-        learnt = ~np.array([row[2] for row in whole if row[0] == language])
-        trials = [row[3:] for row in rows if row[0] == language and row[2]]
-        limits = _limits(_clusters(dense[learnt], k), trials, idf) if learnt.any() else np.zeros(LENGTHS)
-        for centre in _clusters(dense, k):
-            centroids.append(centre)
-            languages.append(language)
-            least.append(limits)
-    shape = (len(centroids), 1 << BITS)
-    return Model(idf, np.array(centroids, np.float32).reshape(shape), languages, np.array(least).reshape(-1, LENGTHS))
+def _cells(grams: bytes) -> np.ndarray:
+    return np.frombuffer(grams, "<u2").astype(np.int64)
 
 
-def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
-    """Train on rows of doc_id, text and lang, a bounded sample of them."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    spread = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 40))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    per_language = max(1, fit_rows // max(1, len(sizes)))
-    share: Column = F.lit(0)
-    for row in sizes:
-        most = math.ceil(min(1.0, per_language / row["n"]) * (1 << 40))
-        share = F.when(F.col("lang") == row["lang"], F.lit(most)).otherwise(share)
-    sample = labelled.select("lang", "text", spread.alias("spread")).where(F.col("spread") < share)
-    # Ids that repeat could make the sample larger than meant.
-    sample = sample.orderBy("spread", "lang", F.xxhash64("text")).limit(2 * fit_rows)
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            columns = (batch.column(c).to_pylist() for c in ("lang", "text", "spread"))
-            for lang, text, at in zip(*columns, strict=True):
-                trial = at % 4 == 0
-                words = text.split(None, max(OPENINGS))[: max(OPENINGS)] if trial else []
-                openings = [(n, " ".join(words[:n])) for n in OPENINGS if n < len(words)]
-                rows += [(lang, n, trial, *ngrams(part)) for n, part in [(0, text), *openings] if has_letter(part)]
+def _trained(idf, k: int):
+    """Centroids and limits of one language, from its part of the sample."""
+
+    def trained(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["spread", "opening"], kind="stable")
+        rows = [
+            vector(_cells(grams), np.frombuffer(counts, "<u4"), idf.value)
+            for grams, counts in zip(frame.pop("grams"), frame.pop("counts"), strict=True)
+        ]
+        whole, trial = frame["opening"].to_numpy() == 0, frame["trial"].to_numpy()
+        pick = lambda mask: [rows[i] for i in np.flatnonzero(mask)]
+        learnt = pick(whole & ~trial)
+        limits = _limits(_clusters(learnt, k), pick(trial)) if learnt else [0.0] * LENGTHS
+        centres = _clusters(pick(whole), k) if whole.any() else np.zeros((0, 1 << BITS), np.float32)
+        out = [(key[0], number, centre.tobytes(), limits) for number, centre in enumerate(centres)]
+        return pd.DataFrame(out, columns=["lang", "number", "centre", "least"])
+
+    return trained
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of sample texts, and of the openings of those that set limits."""
+    for batch in batches:
+        for lang, text, at in zip(*(batch.column(c) for c in ("lang", "text", "spread")), strict=True):
+            lang, text, at = lang.as_py(), text.as_py(), at.as_py()
+            trial = at % 4 == 0
+            words = text.split(None, max(OPENINGS))[: max(OPENINGS)] if trial else []
+            openings = [(n, " ".join(words[:n])) for n in OPENINGS if n < len(words)]
+            rows = [(n, *ngrams(part)) for n, part in [(0, text), *openings] if has_letter(part)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1] for r in rows], pa.int32()),
-                    pa.array([r[2] for r in rows], pa.bool_()),
-                    pa.array([r[3].astype("<u2").tobytes() for r in rows], pa.binary()),
-                    pa.array([r[4].astype("<u4").tobytes() for r in rows], pa.binary()),
+                    pa.array([lang] * len(rows), pa.string()),
+                    pa.array([at] * len(rows), pa.int64()),
+                    pa.array([r[0] for r in rows], pa.int32()),
+                    pa.array([trial] * len(rows), pa.bool_()),
+                    pa.array([r[1].astype("<u2").tobytes() for r in rows], pa.binary()),
+                    pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()),
                 ],
-                ["lang", "opening", "trial", "grams", "counts"],
+                ["lang", "spread", "opening", "trial", "grams", "counts"],
             )
 
-    rows = sample.mapInArrow(featured, "lang string, opening int, trial boolean, grams binary, counts binary").collect()
-    return train(
-        [
-            (*r[:3], np.frombuffer(r[3], "<u2").astype(np.int64), np.frombuffer(r[4], "<u4"))
-            for r in sorted(rows)
-        ],
-        k,
-    )
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a part's texts there are, and how many hold each n-gram."""
+    texts, seen = 0, np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for grams in batch.column("grams"):
+            texts += 1
+            seen[_cells(grams.as_py())] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([texts]), pa.array([seen.tobytes()], pa.binary())], ["texts", "seen"])
+
+
+def sampled(labelled: DataFrame, fit_rows: int) -> DataFrame:
+    """lang, text and spread of about `fit_rows` labelled rows, as many from each language."""
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    n, most = sizes.agg(F.count("*"), F.sum(F.octet_length("lang") + 32)).first()
+    per_language = max(1, fit_rows // max(1, n))
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
+    shares = sizes.select(F.col("lang").alias("named"), F.ceil(share * float(1 << 40)).alias("share"))
+    if (most or 0) < BROADCAST_BYTES:
+        shares = F.broadcast(shares)
+    spread = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1 << 40))
+    rows = labelled.select("lang", "text", spread.alias("spread"))
+    rows = rows.join(shares, F.col("lang") == F.col("named")).where(F.col("spread") < F.col("share"))
+    # Equal rows have one hash, however often they occur.
+    rows = rows.groupBy("lang", "spread").agg(F.min("text").alias("text"))
+    return rows.repartition(_PARTS, "spread")
+
+
+def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
+    """Train on rows of doc_id, text and lang, a bounded sample of them."""
+    rows = cut(sampled(labelled, fit_rows).mapInArrow(_featured, _SAMPLE))
+    texts, seen = 0, np.zeros(1 << BITS)
+    for part in rows.where(F.col("opening") == 0).select("grams").mapInArrow(_held, "texts bigint, seen binary").collect():
+        texts += part["texts"]
+        seen += np.frombuffer(part["seen"], np.int64)
+    idf = (np.log((1 + texts) / (1 + seen)) + 1).astype(np.float32)
+    shared = labelled.sparkSession.sparkContext.broadcast(idf)
+    learnt = rows.groupBy("lang").applyInPandas(_trained(shared, k), _LEARNT).collect()
+    learnt.sort(key=lambda r: (r["lang"], r["number"]))
+    centroids = np.zeros((len(learnt), 1 << BITS), np.float32)
+    for row, part in zip(centroids, learnt, strict=True):
+        row[:] = np.frombuffer(part["centre"], np.float32)
+    least = np.array([part["least"] for part in learnt]).reshape(-1, LENGTHS)
+    return Model(idf, centroids, [part["lang"] for part in learnt], least)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
