@@ -16,17 +16,24 @@ a class, and only classes are compared:
    under 0.75, are left out: 5 in 1,000,000 that are just alike enough.
 4. For each class its most similar partner is confirmed on full sets of
    64-bit shingle hashes, which joins most of each group.
-5. What is still apart is compared whatever the size of a key: under each
-   band key with more than one component, its classes are dealt into pieces
-   of about 256, and pieces are compared with pieces, signature by signature,
-   until each pair in different components is estimated. A component of 256
-   classes or more has pieces of its own, which are not compared with each
-   other. Pairs that may be alike are confirmed as in step 4.
-
-Full sets are compared in cells of a grid of hashed nodes, so a set is sent
-once to each cell that has a pair of it, not once for each pair. All pairs
-that share a band are met; their number under a key grows with the square of
-the components under it.
+5. What is still apart is compared whatever the size of a key. Each class has
+   one home among the band keys that more than one component shares, its
+   largest, and the classes of a home are dealt into pieces. Pieces that have
+   a key in common meet, once however many keys they share. A component of
+   256 classes or more has pieces of its own, which don't meet each other.
+   Where pieces meet, signatures are compared first, and only classes that
+   may be alike to one of another component stay. Their full sets meet in a
+   second step, all pairs at once as a product of shingle incidences, and
+   what leaves the task is a spanning forest of the confirmed links: fewer
+   rows than classes, and none where nothing is linked.
+
+In step 4 sets are compared in cells of a grid of hashed nodes, so a set is
+sent once to each cell that has a pair of it. Comparisons within a crowd of
+classes that share keys and are not linked grow with the square of the
+crowd; rows grow with classes times pieces met.
+
+Sets are named by 64 bits. Two of 10**9 different sets have the same name in
+3 of 100 corpora, and would then count as equal.
 
 Defined results: documents without words (null, empty) have an empty set
 and are linked with nothing; fewer than five words make one shingle;
@@ -44,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_BYTES, cut, spaced_words
+from ledgerline.llm.common import BROADCAST_BYTES, cut, ship, spaced_words
 
 WORDS = 5
 ROWS, BANDS = 5, 48
@@ -55,8 +62,10 @@ _LONGS = -(-MINIMA * BITS // 64)
 PERCENT = 75
 #: Least estimated similarity of a pair that is confirmed on full sets.
 ESTIMATE = 0.6
-#: Classes that make one piece of a band key, about.
-PIECE = 256
+#: Classes that make one piece, about, and shingles.
+PIECE, _PIECE_SHINGLES = 256, 1 << 18
+#: Columns of a part of an incidence matrix.
+_PART = 8192
 #: Bytes of full sets in a row or column of cells, about, and the least number of these.
 _CELL_BYTES, _LEAST_CELLS = 8 << 20, 16
 
@@ -191,32 +200,112 @@ def _columns(piece: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return node, root, size, piece.field("bits").flatten().to_numpy().view(np.uint64).reshape(-1, _LONGS)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs from two pieces (or within one) that are apart and may be alike."""
+def may_be_alike(left: tuple, right: tuple) -> np.ndarray:
+    """Which classes of two pieces are in different components and alike by estimate, or nearly."""
     # A pair of bits differs if either does; 0x5555... picks one place per pair.
     places, chance = np.uint64(0x5555555555555555), 0.5**BITS
     most = int(MINIMA * (1 - chance - ESTIMATE * (1 - chance)) + 1e-6)
+    (_, root, size, bits), (_, other_root, other_size, other_bits) = left, right
+    out = np.zeros((len(root), len(other_root)), bool)
+    for first in range(0, len(root), PIECE):
+        own = slice(first, first + PIECE)
+        unlike = np.zeros(out[own].shape, np.int16)
+        for k in range(_LONGS):
+            odd = bits[own, k, None] ^ other_bits[None, :, k]
+            unlike += np.bitwise_count((odd | (odd >> np.uint64(1))) & places)
+        a, b = size[own, None], other_size[None, :]
+        near = (unlike <= most) & (root[own, None] != other_root[None, :])
+        out[own] = near & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+    return out
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each meeting the classes that may be alike to one of the other piece."""
     for batch in batches:
         for at in range(batch.num_rows):
-            node, root, size, bits = _columns(batch.column("left")[at].values)
-            others, other_root, other_size, other_bits = _columns(batch.column("right")[at].values)
+            meeting = batch.column("meeting")[at].as_py()
+            left = _columns(batch.column("left")[at].values)
+            right = _columns(batch.column("right")[at].values)
+            near = may_be_alike(left, right)
             within = batch.column("within")[at].as_py()
-            found: tuple[list, list] = ([], [])
-            for first in range(0, len(node), PIECE):
-                own = slice(first, first + PIECE)
-                unlike = np.zeros((len(node[own]), len(others)), np.int16)
-                for k in range(_LONGS):
-                    odd = bits[own, k, None] ^ other_bits[None, :, k]
-                    unlike += np.bitwise_count((odd | (odd >> np.uint64(1))) & places)
-                a, b = size[own, None], other_size[None, :]
-                near = (unlike <= most) & (root[own, None] != other_root[None, :])
-                near &= 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
-                if within:
-                    near &= node[own, None] > others[None, :]
-                i, j = np.nonzero(near)
-                found[0].append(np.maximum(node[own][i], others[j]))
-                found[1].append(np.minimum(node[own][i], others[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "b"])
+            sides = [(left, near.any(1), 0)] + ([] if within else [(right, near.any(0), 1)])
+            nodes, roots = (np.concatenate([s[0][c][s[1]] for s in sides]) for c in (0, 1))
+            side = np.concatenate([np.full(int(s[1].sum()), -1 if within else s[2]) for s in sides])
+            arrays = [pa.array(np.full(len(nodes), meeting)), *map(pa.array, (nodes, roots, side.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(arrays, ["meeting", "node", "root", "side"])
+
+
+def alike_sets(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets on the left are alike to which on the right."""
+
+    def all_(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (a, in_a), (b, in_b) = all_(left), all_(right)
+    shared = np.intersect1d(a, b)
+    common = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, len(shared), _PART):
+        part = shared[first : first + _PART]
+        tables = []
+        for members, owner, n in ((a, in_a, len(left)), (b, in_b, len(right))):
+            at = np.minimum(np.searchsorted(part, members), len(part) - 1)
+            here = part[at] == members
+            table = np.zeros((n, len(part)), np.float32)
+            table[owner[here], at[here]] = 1
+            tables.append(table)
+        common += np.rint(tables[0] @ tables[1].T).astype(np.int64)
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])
+    return 100 * common >= PERCENT * (sizes - common)
+
+
+def forest(pairs: Iterator[tuple[int, int]], label: dict[int, int]) -> list[tuple[int, int]]:
+    """Those of the pairs that join two components; `label` has each node's at first."""
+    top = {root: root for root in label.values()}
+
+    def found(node: int) -> int:
+        at = label[node]
+        while top[at] != at:
+            top[at] = at = top[top[at]]
+        return at
+
+    kept = []
+    for a, b in pairs:
+        x, y = found(a), found(b)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
+def _links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one meeting, from node, root, side and set."""
+    left, right = ([r for r in rows if r[2] in (side, -1)] for side in (0, 1))
+    if not left or not right:
+        return []
+    alike = alike_sets([r[3] for r in left], [r[3] for r in right])
+    i, j = np.nonzero(alike)
+    label = {r[0]: r[1] for r in rows}
+    pairs = ((left[a][0], right[b][0]) for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    return [(max(p), min(p)) for p in forest(pairs, label)]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows sorted by meeting."""
+    meeting, rows = None, []
+
+    def out() -> pa.RecordBatch:
+        links = _links(rows)
+        arrays = [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(arrays, ["a", "b"])
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("meeting", "node", "root", "side"))
+        for at, (own, *row) in enumerate(zip(*columns, strict=True)):
+            if own != meeting:
+                yield out()
+                meeting, rows = own, []
+            rows.append((*row, np.frombuffer(batch.column("members")[at].as_py(), np.uint64)))
+    yield out()
 
 
 def crowds(classes: DataFrame) -> DataFrame:
@@ -242,46 +331,60 @@ def central_pairs(crowded: DataFrame) -> DataFrame:
     return _ordered(met.where(F.col("node") != F.col("other")))
 
 
-def apart_pairs(crowded: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key, are in different components and may be alike by estimate."""
+def meetings(crowded: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pieces that share a key with more than one component: meeting, left, right (their classes), within."""
     keyed = cut(
         crowded.join(roots, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("root"), F.explode("shared.band").alias("band")
+            "node", F.coalesce("root", "node").alias("root"), F.explode("shared").alias("key")
         )
     )
-    held = cut(keyed.groupBy("band", "root").agg(F.count("*").alias("n")))
+    mixed = keyed.groupBy("key.band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = cut(mixed.where(F.col("low") != F.col("high")).select(F.col("band").alias("mixed")))
+    keyed = cut(keyed.join(mixed, F.col("key.band") == F.col("mixed")).select("node", "root", "key.band", "key.crowd"))
+    homes = keyed.groupBy("node", "root").agg(F.max(F.struct("crowd", "band")).alias("home"))
+    homes = homes.join(classes.select("node", "n_shingles", "bits"), "node")
+    homes = cut(homes.select("node", "root", F.col("home.band").alias("home"), "n_shingles", "bits"))
+    held = homes.groupBy("home", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    # A large component has pieces of its own; the others of a home share theirs.
     large = F.col("n") >= PIECE
-    mixed = held.groupBy("band").agg(
-        F.count("*").alias("roots"), F.sum(F.when(~large, F.col("n"))).alias("rest")
-    )
-    # A large component has pieces of its own; the others share theirs.
+    rest = held.where(~large).groupBy(F.col("home").alias("rest_home"))
+    rest = rest.agg(F.sum("n").alias("rest_n"), F.sum("weight").alias("rest_weight"))
+    held = held.join(rest, F.col("home") == F.col("rest_home"), "left")
+    count = lambda n, weight: F.greatest(F.ceil(F.col(n) / PIECE), F.ceil(F.col(weight) / _PIECE_SHINGLES))
     held = cut(
-        held.join(mixed.where(F.col("roots") > 1), "band").select(
-            "band",
-            "root",
+        held.select(
+            F.col("home").alias("held_home"),
+            F.col("root").alias("held_root"),
             F.when(large, F.col("root")).alias("own"),
-            F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / PIECE).alias("pieces"),
+            F.when(large, count("n", "weight")).otherwise(count("rest_n", "rest_weight")).alias("pieces"),
         )
     )
     number = F.pmod(F.xxhash64("node"), F.col("pieces"))
-    piece = F.struct(F.col("own").isNotNull().alias("is_own"), F.coalesce("own", F.lit(0)).alias("own"), number.alias("number"))
-    placed = keyed.join(held, ["band", "root"]).select("node", "root", "band", piece.alias("piece"))
-    members = F.collect_list(F.struct("node", "root", "n_shingles", "bits"))
-    pieces = cut(
-        placed.join(classes.select("node", "n_shingles", "bits"), "node")
-        .groupBy("band", "piece")
-        .agg(members.alias("members"))
-    )
-    ids = pieces.select("band", "piece")
-    same = F.col("piece.is_own") & F.col("other.is_own") & (F.col("piece.own") == F.col("other.own"))
-    meetings = ids.join(ids.toDF("band", "other"), "band").where((F.col("piece") <= F.col("other")) & ~same)
-    met = (
-        cut(meetings)
-        .join(pieces.toDF("band", "piece", "left"), ["band", "piece"])
-        .join(pieces.toDF("band", "other", "right"), ["band", "other"])
-        .select("left", "right", (F.col("piece") == F.col("other")).alias("within"))
+    piece = F.struct("home", F.col("own").isNotNull().alias("is_own"), F.coalesce("own", F.lit(0)).alias("own"), number.alias("number"))
+    placed = homes.join(held, (F.col("home") == F.col("held_home")) & (F.col("root") == F.col("held_root")))
+    placed = cut(placed.select("node", "root", "n_shingles", "bits", piece.alias("piece")))
+    members = F.collect_list(F.struct("node", "root", "n_shingles", "bits")).alias("members")
+    pieces = cut(placed.groupBy("piece").agg(members))
+    found = cut(keyed.join(placed.select("node", "piece"), "node").select("band", "piece").distinct())
+    both = found.join(found.toDF("band", "other"), "band").where(F.col("piece") <= F.col("other"))
+    same = F.col("piece.is_own") & F.col("other.is_own") & (F.col("piece.home") == F.col("other.home"))
+    same = same & (F.col("piece.own") == F.col("other.own"))
+    met = cut(both.where(~same).select("piece", "other").distinct().withColumn("meeting", F.monotonically_increasing_id()))
+    return (
+        met.join(pieces.toDF("piece", "left"), "piece")
+        .join(pieces.toDF("other", "right"), "other")
+        .select("meeting", "left", "right", (F.col("piece") == F.col("other")).alias("within"))
     )
-    return met.mapInArrow(_met, "a bigint, b bigint").distinct()
+
+
+def apart_links(crowded: DataFrame, classes: DataFrame, roots: DataFrame, bodies: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that join all components that share a key and are linked."""
+    met = meetings(crowded, classes, roots)
+    candidates = cut(met.mapInArrow(_candidates, "meeting bigint, node bigint, root bigint, side int"))
+    sets = _full_sets(candidates.select("node").distinct(), bodies, firsts)
+    rows = candidates.join(sets, "node").select("meeting", "node", "root", "side", "members")
+    rows = rows.repartition("meeting").sortWithinPartitions("meeting")
+    return cut(rows.mapInArrow(_forests, "a bigint, b bigint"))
 
 
 def _ordered(met: DataFrame) -> DataFrame:
@@ -310,14 +413,19 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return cut(pairs.where(fits & (F.col("estimate") >= ESTIMATE)).select("a", "b", "estimate"))
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are alike. `firsts`: node and one document of it."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(firsts.join(ends, "node").select(F.col("first_id").alias("doc_id")).distinct())
+def _full_sets(nodes: DataFrame, bodies: DataFrame, firsts: DataFrame) -> DataFrame:
+    """node and members, the sorted shingles of each of the nodes."""
+    wanted = cut(firsts.join(nodes, "node").select(F.col("first_id").alias("doc_id")).distinct())
     if wanted.count() * 32 < BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     texts = bodies.join(wanted, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets, "node bigint, members binary"))
+    # A row may be repeated any number of times.
+    return cut(texts.mapInArrow(_sets, "node bigint, members binary").dropDuplicates(["node"]))
+
+
+def confirmed(pairs: DataFrame, bodies: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs whose full sets are alike. `firsts`: node and one document of it."""
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), bodies, firsts)
     size = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
     cells = max(_LEAST_CELLS, -(-size // _CELL_BYTES))
     place = lambda node: F.pmod(F.xxhash64(node), F.lit(cells))
@@ -365,6 +473,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    ship(docs.sparkSession)
     bodies = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
     signed = cut(bodies.mapInArrow(_signed, _SIGNED))
     named = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
@@ -382,8 +491,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = cut(best.select("a", F.col("best.b").alias("b")))
     links = confirmed(best, bodies, firsts)
     roots = components(links)
-    more = cut(apart_pairs(crowded, classes, roots).join(best, ["a", "b"], "left_anti"))
-    links = links.union(confirmed(more, bodies, firsts))
+    links = links.union(apart_links(crowded, classes, roots, bodies, firsts))
     roots = components(links)
 
     members = firsts.join(roots, "node", "left").select(

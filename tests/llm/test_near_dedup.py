@@ -113,21 +113,83 @@ def test_partitions_agree(spark, slices):
     assert as_rows(near_duplicates(docs.repartition(slices))) == as_rows(near_duplicates(docs))
 
 
-def test_crowded_keys_are_compared_throughout(spark):
-    """Under keys of any size, and piece by piece, exactly the pairs alike by estimate are met."""
+def test_pieces_meet_once_and_own_pieces_of_a_component_never(spark, monkeypatch):
+    """Over all meetings, each two classes of different components that share a key are compared."""
+    monkeypatch.setattr(near_dedup, "PIECE", 32)
     rng = np.random.default_rng(7)
-    n, large = 700, 300
-    signature = lambda: rng.integers(-(1 << 63), (1 << 63) - 1, 8, np.int64, endpoint=True).tolist()
-    bits = [signature() for _ in range(n)]
-    alike = [(1, 650), (400, 401), (2, 699), (500, 3), (10, 11)]
-    for a, b in alike:
-        bits[b] = bits[a]
+    n, large = 300, 90
+    keys = [sorted(rng.choice(6, rng.integers(1, 4), replace=False).tolist()) for _ in range(n)]
+    crowd = Counter(k for own in keys for k in own)
     classes = spark.createDataFrame(
-        [(i, 400, bits[i]) for i in range(n)], "node bigint, n_shingles bigint, bits array<bigint>"
+        [(i, 400, [i] * 8) for i in range(n)], "node bigint, n_shingles bigint, bits array<bigint>"
     )
     shared = "node bigint, score bigint, shared array<struct<band:bigint,crowd:bigint>>"
-    crowded = spark.createDataFrame([(i, 2 * n, [(5, n), (6, n)]) for i in range(n)], shared)
-    # One component of 300 nodes, of which 10 and 11 are; all others are alone.
+    crowded = spark.createDataFrame([(i, 1, [(k, crowd[k]) for k in own]) for i, own in enumerate(keys)], shared)
     roots = spark.createDataFrame([(i, 0) for i in range(large)], "node bigint, root bigint")
-    found = sorted((r.a, r.b) for r in near_dedup.apart_pairs(crowded, classes, roots).collect())
-    assert found == sorted((max(p), min(p)) for p in alike if p != (10, 11))
+    root = lambda i: 0 if i < large else i
+    met = near_dedup.meetings(crowded, classes, roots).collect()
+    seen = Counter()
+    for row in met:
+        left, right = ([m["node"] for m in row[side]] for side in ("left", "right"))
+        pairs = {(a, b) for a in left for b in right if root(a) != root(b)}
+        seen.update({(max(p), min(p)) for p in pairs})
+    expected = {(a, b) for a in range(n) for b in range(a) if root(a) != root(b) and set(keys[a]) & set(keys[b])}
+    assert expected <= set(seen)
+    assert set(seen.values()) == {1}
+    # A piece that only the large component has doesn't meet itself.
+    assert not any(row["within"] and {root(m["node"]) for m in row["left"]} == {0} for row in met)
+
+
+def test_sets_are_compared_exactly(monkeypatch):
+    monkeypatch.setattr(near_dedup, "_PART", 16)
+    rng = np.random.default_rng(3)
+    some = lambda: np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64))
+    left, right = [some() for _ in range(40)], [some() for _ in range(30)]
+    right[3], right[4] = left[5], left[6][: max(1, len(left[6]) * 3 // 4)]
+    found = near_dedup.alike_sets(left, right)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            common = len(set(a.tolist()) & set(b.tolist()))
+            assert found[i, j] == (100 * common >= 75 * (len(a) + len(b) - common))
+    assert found[5, 3]
+
+
+def test_forest_keeps_components():
+    rng = np.random.default_rng(2)
+    label = {i: i - i % 3 for i in range(60)}
+    pairs = [tuple(p) for p in rng.integers(0, 60, (40, 2)).tolist()]
+    kept = near_dedup.forest(iter(pairs), label)
+
+    def groups(links):
+        own = dict(label)
+        for _ in range(60):
+            for a, b in links:
+                low = min(own[a], own[b])
+                own = {i: low if top in (own[a], own[b]) else top for i, top in own.items()}
+        return own
+
+    assert groups(kept) == groups(pairs)
+    assert len(kept) == 20 - len(set(groups(pairs).values()))
+
+
+def test_mixtures_of_shared_passages(spark, monkeypatch):
+    """Documents put together from one pool of passages: many share keys, some are linked."""
+    monkeypatch.setattr(near_dedup, "PIECE", 48)
+    rng = np.random.default_rng(11)
+    rows = []
+    for pool in range(3):
+        passages = [" ".join(f"p{pool}w{rng.integers(1 << 30)}" for _ in range(40)) for _ in range(12)]
+        for _ in range(200):
+            chosen = np.sort(rng.choice(12, 8, replace=False))
+            rows.append((len(rows), "\n".join(passages[i] for i in chosen) + f" x{rng.integers(1 << 30)}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    expected = plain_components(rows)
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == expected
+    assert 1 < sum(row[3] for row in expected) < len(rows)
+
+
+def test_many_equal_rows(spark):
+    rows = [(1, "a b c d e f g h i j")] * 500 + [(2, "a b c d e f g h i j k")] * 300 + [(3, "unlike all of the others here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    found = Counter(tuple(r) for r in near_duplicates(docs).collect())
+    assert found == {(1, 6, 1, True): 500, (2, 7, 1, False): 300, (3, 2, 3, True): 1}
