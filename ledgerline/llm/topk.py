@@ -1,22 +1,29 @@
 """Exact top-k by inner product: columnar branch-and-bound.
 
-Vectors become integers, stored by dimension. Queries are taken in blocks
-of bounded size, each broadcast and searched against every partition of the
-vectors. There scores are accumulated a block of dimensions at a time. What
-the dimensions still to come can add is at most the product of the two
-remaining lengths (Cauchy-Schwarz), so after each block the candidates that
-can no longer reach a query's k-th best are dropped and the rest moved
-together. Each partition returns k rows a query, of which the k best are
-taken.
-
-Sums are whole numbers below 2**53 in doubles (2**24 in floats where they
-fit), so they are exact; larger ones raise an error.
+Vectors become integers, stored by dimension. What the dimensions still to
+come can add to a score is at most the product of the two remaining lengths
+(Cauchy-Schwarz), so a candidate whose score so far and this bound stay
+below a query's k-th best is dropped.
+
+1. Each query is scored against a bounded sample of the vectors. The k-th
+   best of these is a lower bound of its k-th best of all.
+2. Queries are taken in blocks of bounded size, each broadcast with these
+   bounds and searched against every partition. Scores are accumulated a
+   block of dimensions at a time, at first for many queries at once. As soon
+   as half of the pairs are dropped, each query goes on alone with its
+   surviving candidates moved together, and compacts them after each block.
+3. A partition returns at most k rows a query, none below the query's bound,
+   of which the k best are taken.
+
+Scores are whole numbers: in floats below 2**24, in doubles below 2**53, in
+64-bit integers (slower) beyond; a score that no long may hold raises an
+error. All pairs are looked at, so time grows with queries times vectors.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without an id; shorter vectors count
 as filled with zeros; equal scores go to the smaller id; with fewer
 candidates than k all are returned; a query repeated with the same vector
-counts once, repeated candidates count each.
+counts once, repeated candidates count each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import cut, ship
 
-#: Queries broadcast at once; with 64 dimensions of 2 bytes 4 MB.
+#: Queries broadcast at once; with 64 dimensions of 8 bytes 16 MB.
 QUERY_BLOCK = 32_768
-_ROWS, _QUERIES, _DIMENSIONS = 8_192, 512, 16
+#: Vectors in the sample that gives the first bounds, about; 8 MB.
+SEEDS = 16_384
+_ROWS, _QUERIES, _DIMENSIONS = 8_192, 256, 8
 _OUT = "query_id bigint, vec_id bigint, score bigint"
+#: Makes up for rounding in bounds.
+_SLACK = 1e-9
 
 
 def whole_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
@@ -47,78 +58,94 @@ def whole_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
 
 
 class Search:
-    """k best of a stream of vectors for a block of queries."""
+    """k best of a stream of vectors for a block of queries, from lower bounds of their k-th best."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, exact: type):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int, exact: type):
         # Heavy dimensions first: the remaining lengths shrink sooner.
         self.order = np.argsort(-(queries.astype(float) ** 2).sum(0), kind="stable")
-        self.ids, self.k = ids, k
+        self.ids, self.k, self.least = ids, k, least.astype(float)
         self.queries = queries[:, self.order].astype(exact)
         self.rest = self._rest(self.queries)
-        self.best_score = np.full((len(ids), k), -np.inf)
-        self.best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        #: Pairs that were scored in each block of dimensions.
+        self.scored = np.zeros(len(self.rest), np.int64)
 
     @staticmethod
     def _rest(rows: np.ndarray) -> np.ndarray:
         """Length of what each block of dimensions leaves to come, per row."""
         squares = rows.astype(float) ** 2
-        starts = range(_DIMENSIONS, rows.shape[1], _DIMENSIONS)
-        return np.stack([np.sqrt(squares[:, s:].sum(1)) for s in starts] or [np.zeros(len(rows))])
+        ends = range(_DIMENSIONS, rows.shape[1] + _DIMENSIONS, _DIMENSIONS)
+        return np.stack([np.sqrt(squares[:, end:].sum(1)) for end in ends])
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order][:, self.order].astype(self.queries.dtype)
+        vectors = vectors[:, self.order].astype(self.queries.dtype)
         columns, rest = np.ascontiguousarray(vectors.T), self._rest(vectors)
         for first in range(0, len(self.ids), _QUERIES):
             self._add(slice(first, first + _QUERIES), ids, columns, rest)
 
     def _add(self, own: slice, ids: np.ndarray, columns: np.ndarray, rest: np.ndarray) -> None:
-        queries, k = self.queries[own], self.k
-        least = self.best_score[own, -1]
-        left = np.arange(len(ids))
-        scores = np.zeros((len(queries), len(left)), queries.dtype)
-        for block, start in enumerate(range(0, len(columns), _DIMENSIONS)):
-            part = slice(start, start + _DIMENSIONS)
-            scores += queries[:, part] @ columns[part, left]
-            if start + _DIMENSIONS < len(columns):
-                # A unit more than the bound makes up for rounding in it.
-                most = scores + self.rest[block][own][:, None] * rest[block][left] + 1
-                alive = (most >= least[:, None]).any(0)
-                if not alive.all():
-                    left, scores = left[alive], np.ascontiguousarray(scores[:, alive])
-        same = ids[left] == self.ids[own][:, None]
-        scores = np.where(same, -np.inf, scores.astype(float))
-        if len(left) > k:
-            # ids ascend, so the earlier of two equal scores is the smaller id.
-            ranked = scores * len(left) - np.arange(len(left)) if self._packs(scores, len(left)) else None
-            if ranked is None:
-                take = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            else:
-                take = np.argpartition(-ranked, k - 1, axis=1)[:, :k]
-            scores = np.take_along_axis(scores, take, 1)
-            found = ids[left][take]
-        else:
-            found = np.broadcast_to(ids[left], scores.shape)
-        scores = np.concatenate([self.best_score[own], scores], 1)
-        found = np.concatenate([self.best_id[own], found], 1)
-        by_id = np.argsort(found, axis=1, kind="stable")
-        scores, found = np.take_along_axis(scores, by_id, 1), np.take_along_axis(found, by_id, 1)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        self.best_score[own] = np.take_along_axis(scores, best, 1)
-        self.best_id[own] = np.take_along_axis(found, best, 1)
-
-    @staticmethod
-    def _packs(scores: np.ndarray, n: int) -> bool:
-        finite = scores[np.isfinite(scores)]
-        return not len(finite) or (np.abs(finite).max() + 1) * n < 2**53
+        queries, least = self.queries[own], self.least[own, None]
+        scores = np.zeros((len(queries), len(ids)), queries.dtype)
+        alive = np.ones(scores.shape, bool)
+        block = 0
+        while block < len(rest) and 2 * np.count_nonzero(alive) > alive.size:
+            part = slice(block * _DIMENSIONS, (block + 1) * _DIMENSIONS)
+            self.scored[block] += scores.size
+            scores += queries[:, part] @ columns[part]
+            more = self.rest[block][own][:, None] * rest[block]
+            alive = scores + more + (np.abs(scores) + more) * _SLACK >= least
+            block += 1
+        for row in range(len(queries)):
+            self._alone(own.start + row, np.flatnonzero(alive[row]), scores[row], block, ids, columns, rest)
+
+    def _alone(self, q: int, left: np.ndarray, scores: np.ndarray, block: int, ids, columns, rest) -> None:
+        """What is left of the candidates of one query, over the dimensions still to come."""
+        query, least, scores = self.queries[q], self.least[q], scores[left]
+        for at in range(block, len(rest)):
+            if not len(left):
+                return
+            part = slice(at * _DIMENSIONS, (at + 1) * _DIMENSIONS)
+            self.scored[at] += len(left)
+            scores = scores + query[part] @ columns[part, left]
+            more = self.rest[at][q] * rest[at][left]
+            alive = scores + more + (np.abs(scores) + more) * _SLACK >= least
+            left, scores = left[alive], scores[alive]
+        other = ids[left] != self.ids[q]
+        if not other.any():
+            return
+        best, found = self.best[q]
+        best = np.concatenate([best, scores[other].astype(np.int64)])
+        found = np.concatenate([found, ids[left][other]])
+        take = np.lexsort((found, -best))[: self.k]
+        self.best[q] = best[take], found[take]
+        if len(take) == self.k:
+            self.least[q] = max(least, float(best[take[-1]]))
 
     def rows(self) -> pa.RecordBatch:
-        real = np.isfinite(self.best_score)
-        query = np.broadcast_to(self.ids[:, None], real.shape)[real]
-        arrays = [query, self.best_id[real], self.best_score[real].astype(np.int64)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()) for a in arrays], ["query_id", "vec_id", "score"]
-        )
+        counts = [len(found) for _, found in self.best]
+        none = [np.empty(0, np.int64)]
+        scores = np.concatenate([scores for scores, _ in self.best] + none)
+        found = np.concatenate([ids for _, ids in self.best] + none)
+        query = np.repeat(self.ids, counts)
+        arrays = [pa.array(a, pa.int64()) for a in (query, found, scores)]
+        return pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score"])
+
+
+def first_bounds(ids: np.ndarray, queries: np.ndarray, seeds: tuple, k: int, exact: type) -> np.ndarray:
+    """The k-th best score of each query within the sample, and the least number there is if that has fewer."""
+    seed_ids, vectors = seeds
+    least = np.full(len(ids), np.iinfo(np.int64).min)
+    columns = vectors.astype(exact).T
+    for first in range(0, len(ids), _QUERIES):
+        own = slice(first, first + _QUERIES)
+        scores = queries[own].astype(exact) @ columns
+        other = seed_ids[None, :] != ids[own, None]
+        enough = other.sum(1) >= k
+        if enough.any():
+            lowest = scores.dtype.type(-np.inf) if scores.dtype.kind == "f" else np.iinfo(np.int64).min
+            scores = np.where(other, scores, lowest)
+            least[own][enough] = np.partition(scores, -k, axis=1)[:, -k][enough].astype(np.int64)
+    return least
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -130,6 +157,37 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _packed(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and whole vectors of rows that bring these as bytes."""
+    matrix = np.zeros((len(rows), width), np.int64)
+    for line, row in zip(matrix, rows, strict=True):
+        line[:] = np.frombuffer(row["x"], np.int64)
+    return np.array([row["vec_id"] for row in rows], np.int64), matrix
+
+
+def _bytes(width: int):
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [row.tobytes() for row in _matrix(batch.column("x"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(x, pa.binary())], ["vec_id", "x"])
+
+    return as_bytes
+
+
+def _bounded(queries: DataFrame, seeds, k: int, width: int, exact: type) -> DataFrame:
+    """The queries with x as bytes and a lower bound of their k-th best score."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            x = _matrix(batch.column("x"), width)
+            least = first_bounds(ids, x, seeds.value, k, exact)
+            arrays = [pa.array(ids), pa.array([row.tobytes() for row in x], pa.binary()), pa.array(least)]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "x", "least"])
+
+    return queries.mapInArrow(bounded, "vec_id bigint, x binary, least bigint")
+
+
 def _searched(rows: DataFrame, block, k: int, width: int, exact: type) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Search(*block.value, k, exact)
@@ -150,33 +208,34 @@ def top_k(
     every: int = 20,
     scale: int = 64,
     query_block: int = QUERY_BLOCK,
+    seeds: int = SEEDS,
 ) -> DataFrame:
     """query_id, rank, vec_id and score; queries are ids divisible by `every`."""
     spark = embeddings.sparkSession
+    ship(spark)
     rows = whole_vectors(embeddings, scale)
+    square = F.aggregate("x", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    widest, most, n = rows.agg(F.max(F.size("x")), F.max(square), F.count("*")).first()
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
-    largest = F.array_max(F.transform("x", lambda x: F.abs(x)))
-    widest, most = rows.agg(F.max(F.size("x")), F.max(largest)).first()
-    n_queries = queries.count()
-    if not n_queries:
+    if not n:
         return rows.select(
             F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score")
-        ).limit(0)
-    bound = float(most) ** 2 * widest
-    if bound >= 2**53:
-        raise ValueError(f"scores up to {bound:.3g} are not exact: components reach {most}")
-    exact = np.float32 if bound < 2**24 else np.float64
-    pieces = math.ceil(n_queries / query_block)
+        )
+    # No score, nor any sum on the way to it, is above the largest square of a length.
+    if most >= 2**63:
+        raise ValueError(f"scores up to {most:.3g} don't fit a long")
+    exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    spread = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(1 << 40))
+    sample = rows.where(spread < math.ceil(min(1.0, seeds / n) * (1 << 40)))
+    sample = _packed(sample.mapInArrow(_bytes(widest), "vec_id bigint, x binary").collect(), widest)
+    queries = cut(_bounded(queries, spark.sparkContext.broadcast(sample), k, widest, exact))
+    pieces = max(1, math.ceil(queries.count() / query_block))
     piece = F.pmod(F.xxhash64("vec_id"), F.lit(pieces))
     found = None
     for p in range(pieces):
         own = queries.where(piece == p).collect()
-        matrix = np.zeros((len(own), widest), np.int64)
-        for line, row in zip(matrix, own, strict=True):
-            line[: len(row["x"])] = row["x"]
-        ids = np.array([row["vec_id"] for row in own], np.int64)
-        dtype = np.int16 if most < 2**15 else np.int64
-        block = spark.sparkContext.broadcast((ids, matrix.astype(dtype)))
+        least = np.array([row["least"] for row in own], np.int64)
+        block = spark.sparkContext.broadcast((*_packed(own, widest), least))
         part = _searched(rows, block, k, widest, exact)
         by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         part = part.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)

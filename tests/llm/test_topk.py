@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from ledgerline.llm.topk import top_k
+from ledgerline.llm.topk import Search, first_bounds, top_k
 from tests.llm.cases import MEDIUM, as_rows
 
 
@@ -52,10 +52,49 @@ def test_larger_numbers(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 1e4, 40)]) for i in range(100)]
     assert as_rows(top_k(frame_of(spark, rows, "double"))) == plain(rows)
-    with pytest.raises(ValueError, match="not exact"):
+    rows[17] = (17, [1e6] + [0.0] * 39)
+    rows[20] = (20, [200_000.0, -3.0, *[0.5] * 62])
+    rows[40] = (40, [-1e6 if i % 2 else 3e5 for i in range(64)])
+    assert as_rows(top_k(frame_of(spark, rows, "double"))) == plain(rows)
+    with pytest.raises(ValueError, match="fit a long"):
         top_k(frame_of(spark, [(0, [1e12]), (1, [1.0])], "double"))
 
 
+def test_small_samples_and_blocks(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(0, 0.125, 64).tolist()) for i in range(1200)]
+    expected = plain(rows)
+    for seeds in (10, 200):
+        assert as_rows(top_k(frame_of(spark, rows).repartition(3), seeds=seeds, query_block=25)) == expected
+
+
+def search(vectors, queries, k, seeds):
+    ids = np.arange(len(vectors))
+    least = first_bounds(ids[:queries], vectors[:queries], (ids[:seeds], vectors[:seeds]), k, np.float64)
+    state = Search(ids[:queries], vectors[:queries], least, k, np.float64)
+    for first in range(0, len(vectors), 1000):
+        state.add(ids[first : first + 1000], vectors[first : first + 1000])
+    return state
+
+
+def test_candidates_are_pruned():
+    """Fewer pairs are scored in each block of dimensions; almost all are dropped where copies are near."""
+    rng = np.random.default_rng(9)
+    unlike = np.floor(64 * rng.normal(0, 0.125, (4000, 64))).astype(np.int64)
+    state = search(unlike, 100, 20, 2000)
+    share = state.scored / (100 * 4000)
+    assert share[0] == 1 and share[-1] < 0.1
+    assert all(a >= b for a, b in zip(share, share[1:], strict=False))
+    scores = unlike[:100] @ unlike.T
+    np.fill_diagonal(scores, np.iinfo(np.int64).min)
+    for q in range(100):
+        assert state.best[q][0].tolist() == sorted(scores[q].tolist(), reverse=True)[:20]
+    # Few heavy dimensions: the mass that remains is small from the start.
+    heavy = np.floor(unlike * np.where(np.arange(64) < 6, 10, 0.3)).astype(np.int64)
+    share = search(heavy, 100, 20, 2000).scored / (100 * 4000)
+    assert share[1] < 0.05
+
+
 def test_few_and_none(spark):
     assert top_k(frame_of(spark, [])).collect() == []
     assert top_k(frame_of(spark, [(1, [1.0])])).collect() == []
