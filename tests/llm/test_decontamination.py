@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -52,6 +53,31 @@ def test_search_on_few_words():
         assert (n, len(hit), len(names)) == expected[:3]
 
 
+def test_long_windows_and_repeated_items():
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(40)]
+    items = [(str(k), " ".join(rng.choices(pool, k=rng.choice([3, 13, 14, 60])))) for k in range(50)]
+    items += [(f"again{k}", items[k][1].upper()) for k in range(25)] + [(None, items[3][1])]
+    tables = build([(name, text.encode()) for name, text in items])
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            words = rng.choice(items)[1].split()
+            start = rng.randrange(len(words))
+            parts += words[start : start + rng.randint(1, 60)] + rng.choices(pool, k=rng.randint(0, 8))
+        n, spans, names = find(" ".join(parts).encode(), tables)
+        hit = {i for a, b in zip(spans[::2], spans[1::2], strict=True) for i in range(a, b)}
+        expected = plain(" ".join(parts), items)
+        assert (n, len(hit), len(names)) == expected[:3]
+        assert hashlib.sha256(",".join(names).encode()).hexdigest() == expected[3]
+
+
+def test_tables_are_compact():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(100_000)).encode()
+    assert len(pickle.dumps(build([("1", text[: len(text) // 2]), ("2", text[len(text) // 2 :])]))) < 10 * len(text)
+
+
 def test_pieces_give_the_same(spark):
     docs = edge_docs(spark).union(edge_docs(spark))
     names = "item_id bigint, text string"
