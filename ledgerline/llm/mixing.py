@@ -18,9 +18,9 @@ of 65,536 bins, looked at as 256 groups of 256, and only the documents of
 the bin in which the words run out are ordered one by one.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null
-source is a source of its own; rows with equal id and text share their
-rank and are taken or left together; an empty table gives no rows; extra
-columns are ignored by `mix`.
+source is a source of its own; equal rows are numbered and ranked one by one,
+so that any number of them may be taken, which of them being all the same; an
+empty table gives no rows; extra columns are ignored by `mix`.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_BYTES, cut
+from ledgerline.llm.common import BROADCAST_BYTES, cut, ship
+from ledgerline.llm.ordering import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BINS, _GROUP = 65_536, 256
@@ -158,6 +159,15 @@ def _round(pool: DataFrame, room: DataFrame, r: int, small: Callable[[DataFrame]
     )
 
 
+def _apart(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows, those of a repeated `tie` with ties of their own."""
+    marked = rows.join(repeated.withColumn("again", F.lit(True)), "tie", "left")
+    others = [name for name in rows.columns if name != "tie"]
+    own = numbered(marked.where("again"), "tie", [], others)
+    own = own.withColumn("tie", F.xxhash64("tie", "number"))
+    return marked.where(F.col("again").isNull()).select(rows.columns).union(own.select(rows.columns))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -178,15 +188,23 @@ def mix(
     The number of sources is taken to be small enough for one task; their
     table is broadcast below `broadcast_bytes` and joined by shuffles above.
     """
+    ship(docs.sparkSession)
+    named = ["doc_id", "source", "text", *(name for name in keep if name not in ("doc_id", "source", "text"))]
     sized = docs.select(
         F.col("doc_id"),
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("tie"),
+        F.xxhash64(F.lit(seed), *named).alias("tie"),
         (F.lit(1.0) if odds is None else odds).cast("double").alias("odds"),
         *(F.col(name).alias(f"kept_{name}") for name in keep),
     )
     narrow = cut(sized.select("doc_id", "source", "size", "tie", "odds"))
+    repeated = cut(narrow.groupBy("tie").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("tie"))
+    again = repeated.count()
+    if again:
+        repeated = F.broadcast(repeated) if again * 16 < broadcast_bytes else repeated
+        narrow = cut(_apart(narrow, repeated))
+        sized = _apart(sized, repeated) if keep else sized
     sizes = narrow.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("odds")).alias("odds_size")
     )
