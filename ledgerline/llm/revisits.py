@@ -6,11 +6,13 @@ the same canonical URL. If the validators agree the record is resolved: it
 gets that response's payload, and its headers updated by those that a
 not-modified answer may bring.
 
-A URL may hold any share of the records, so its time line is cut into
-slices, about the square root of the record count: within a slice a window
-finds the latest response, and the last response of each slice is carried
-on to the later ones. Payloads may be whole bodies: windows and slices carry
-none, and each record gets its own after that, by the key of its response.
+A URL may hold any share of the records, and so may a moment of it. Records
+are first summed up to one row per URL and time. These rows are dealt over
+tasks by ranges of URL and time, as many to each, so a URL's time line is cut
+by rank, whatever its outliers: within a task a window finds the latest
+response, and the last response of each task is carried on to the later ones.
+Payloads may be whole bodies: none of this carries any, and each record gets
+its own after that, by the key of its response.
 
 Defined results: full responses pass with status `full`; a revisit is
 `resolved`, `mismatch` (an entity tag or modification time differs),
@@ -23,11 +25,12 @@ in lower case and the last of equal names counts; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import cut, ship
+from ledgerline.llm.ordering import placed, task_of
+
 # Fields that a not-modified answer may update.
 PERMITTED = (
     "cache-control",
@@ -77,6 +80,25 @@ def _rendered(entries: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def _earlier(known: DataFrame) -> DataFrame:
+    """url, time and the latest response before, `found`, of each URL and time at which there are records.
+
+    Rows without a found response are left out.
+    """
+    answer = F.max(F.when(F.col("is_full"), F.struct("at", "record_id", "headers"))).alias("answer")
+    moments = known.groupBy(F.col("canonical_url").alias("url"), F.col("at").alias("time")).agg(answer)
+    moments = placed(moments, ["url", "time"], ["url", "time", "answer"]).withColumn("task", task_of())
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last("answer", ignorenulls=True).over(before("url", "task").orderBy("time"))
+    lasts = moments.where(F.col("answer").isNotNull()).groupBy("url", "task").agg(F.max("answer").alias("last"))
+    tasks = moments.select("url", "task").distinct().join(lasts, ["url", "task"], "left")
+    carried = F.last("last", ignorenulls=True).over(before("url").orderBy("task"))
+    carried = tasks.select("url", "task", carried.alias("carried"))
+    joined = moments.withColumn("near", near).join(carried, ["url", "task"])
+    found = joined.select("url", "time", F.coalesce("near", "carried").alias("found"))
+    return found.where(F.col("found").isNotNull())
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """A row per record: record_id, canonical_url, status, response_id, payload, headers.
 
@@ -84,6 +106,7 @@ def resolve(records: DataFrame) -> DataFrame:
     `revisit`), payload string (the body, or its digest or place), headers
     map<string,string>.
     """
+    ship(records.sparkSession)
     rows = records.select(
         F.col("record_id").cast("bigint"),
         canonical_url(F.col("url")).alias("canonical_url"),
@@ -92,28 +115,14 @@ def resolve(records: DataFrame) -> DataFrame:
         "payload",
         _entries(F.col("headers")).alias("headers"),
     )
-    n, first, last = rows.agg(F.count("*"), F.min("at"), F.max("at")).first()
-    slices = max(1, math.isqrt(n))
-    width = max(1, -(-((last or 0) - (first or 0) + 1) // slices))
-    bodies = rows.where("is_full").select("record_id", "canonical_url", "at", "payload")
-    unplaced = rows.where(~(F.col("canonical_url").isNotNull() & F.col("at").isNotNull()))
-    rows = rows.drop("payload").withColumn("slice", F.floor((F.col("at") - F.lit(first or 0)) / width))
     # Without a URL or time nothing is earlier; such records would share a key.
-    placed = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
-    answer = F.when(F.col("is_full"), F.struct("at", "record_id", "headers"))
-    inside = (
-        Window.partitionBy("canonical_url", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    )
-    known = rows.where(placed).withColumn("near", F.max(answer).over(inside))
-    before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        rows.where(placed)
-        .groupBy("canonical_url", "slice")
-        .agg(F.max(answer).alias("own"))
-        .withColumn("carried", F.max("own").over(before))
-        .drop("own")
-    )
-    joined = known.join(carried, ["canonical_url", "slice"]).withColumn("found", F.coalesce("near", "carried"))
+    is_placed = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
+    unplaced = rows.where(~is_placed)
+    bodies = rows.where("is_full").select("record_id", "canonical_url", "at", "payload")
+    known = rows.where(is_placed).drop("payload")
+    found = cut(_earlier(known))
+    here = (F.col("canonical_url") == F.col("url")) & (F.col("at") == F.col("time"))
+    joined = known.join(found, here, "left").drop("url", "time")
     fields = ["record_id", "canonical_url", "at", "is_full", "headers"]
     kind = joined.schema["found"].dataType
 
@@ -171,17 +180,28 @@ def resolve(records: DataFrame) -> DataFrame:
 def crawl_log(pages: DataFrame) -> DataFrame:
     """Records made from a table of pages, bodies as payloads.
 
-    Each page is a full response, revisited once later under another
-    spelling of its URL, every third time with a stale entity tag; every
-    fifth page is also revisited before it was first stored.
+    Each page is a full response; every fourth is a version of its host's
+    front page, so that such a URL has many responses. Each is revisited
+    once later under another spelling of its URL, every third time with a
+    stale entity tag; every fifth page is also revisited before it was
+    stored. Every seventh page has no entity tag, in either record, and
+    every second has a time of modification, the same for 40 pages in a row.
     """
     page = F.col("page_id").cast("bigint")
-    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
-    rows = pages.select(page.alias("page"), "url", tag.alias("tag"), F.octet_length("html").alias("size"), F.col("html").cast("string").alias("body"))
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    tag = F.when(page % 7 != 3, F.concat(F.lit('"'), F.md5("html"), F.lit('"')))
+    rows = pages.select(
+        page.alias("page"),
+        F.when(page % 4 == 1, host).otherwise(F.col("url")).alias("url"),
+        tag.alias("tag"),
+        F.when(page % 2 == 0, F.concat(F.lit("day "), F.floor(page / 40).cast("string"))).alias("modified"),
+        F.octet_length("html").alias("size"),
+        F.col("html").cast("string").alias("body"),
+    )
 
     def headers(**fields: Column) -> Column:
         named = [part for name, value in fields.items() for part in (F.lit(name.replace("_", "-")), value)]
-        return F.create_map(*named)
+        return F.map_filter(F.create_map(*named), lambda _, value: value.isNotNull())
 
     def day(at: Column) -> Column:
         return F.concat(F.lit("day "), at.cast("string"))
@@ -196,6 +216,7 @@ def crawl_log(pages: DataFrame) -> DataFrame:
             Content_Type=F.lit("text/html"),
             Content_Length=F.col("size").cast("string"),
             ETag=F.col("tag"),
+            Last_Modified=F.col("modified"),
             Date=day(4 * F.col("page")),
             Cache_Control=F.lit("max-age=60"),
         ).alias("headers"),
@@ -211,13 +232,15 @@ def crawl_log(pages: DataFrame) -> DataFrame:
             headers(
                 Date=day(at),
                 ETag=tag,
+                Last_Modified=F.col("modified"),
                 Cache_Control=F.lit("max-age=120"),
                 Content_Length=F.lit("0"),
             ).alias("headers"),
         )
 
-    stale = F.when(F.col("page") % 3 == 0, F.lit('"stale"')).otherwise(F.col("tag"))
+    stale = F.when(F.col("tag").isNotNull() & (F.col("page") % 3 == 0), F.lit('"stale"')).otherwise(F.col("tag"))
     later = revisit(2, 4 * F.col("page") + 2, F.concat(F.col("url"), F.lit("#seen")), F.concat(F.lit("W/"), stale))
-    early = revisit(1, 4 * F.col("page") - 999, F.col("url"), F.col("tag"))
+    # Asks by time alone: its tag is of a page that was not there yet.
+    early = revisit(1, 4 * F.col("page") - 999, F.col("url"), F.when(F.col("page") % 2 == 1, F.col("tag")))
     all_ = F.when(F.col("page") % 5 == 0, F.array(response, later, early)).otherwise(F.array(response, later))
     return rows.select(F.explode(all_).alias("record")).select("record.*")
