@@ -5,7 +5,7 @@ written as parquet and read again as the next one's documents. All but the
 last return the columns of `documents`:
 
 1. language: documents whose language is rejected go;
-2. lines: lines of recurring templates are dropped, all but the first;
+2. lines: lines that recur, as they are or as a pattern with fields, are dropped, all but the first;
 3. near duplicates: one document of each group stays;
 4. benchmark: contaminated documents go;
 5. mixing: how many copies of each document bring its source near its
@@ -57,7 +57,7 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: Models, templates and sampling cannot be stated in SQL; tests compare with brute force.
+#: Models, patterns and sampling cannot be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
