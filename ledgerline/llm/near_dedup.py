@@ -64,6 +64,8 @@ PERCENT = 75
 ESTIMATE = 0.6
 #: Classes that make one piece, about, and shingles.
 PIECE, _PIECE_SHINGLES = 256, 1 << 18
+#: Links that a task puts together at once.
+_LINKS = 1 << 20
 #: Columns of a part of an incidence matrix.
 _PART = 8192
 #: Bytes of full sets in a row or column of cells, about, and the least number of these.
@@ -439,14 +441,49 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, firsts: DataFrame) -> DataFra
     return cut(rows.mapInArrow(_confirmed, "a bigint, b bigint").distinct())
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each node to the least one it is connected to by some `_LINKS` links."""
+
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate(parts), return_inverse=True)
+        at = at.reshape(-1, 2)
+        label = np.arange(len(ids))
+        while True:
+            x, y = label[at[:, 0]], label[at[:, 1]]
+            at, x, y = at[x != y], x[x != y], y[x != y]
+            if not len(at):
+                break
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label != (top := label[label])).any():
+                label = top
+        far = label != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], ["a", "b"])
+
+    parts, n = [], 0
+    for batch in batches:
+        parts.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], 1).ravel())
+        n += batch.num_rows
+        if n >= _LINKS:
+            yield out(parts)
+            parts, n = [], 0
+    if n:
+        yield out(parts)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b); root is the component's least node.
 
-    Each round takes the least label among the neighbours and then the
-    label of that label, so chains shorten by half a round. Only the number
-    of changed labels reaches the driver.
+    Tasks first replace their links by stars. Then each round takes the
+    least label among the neighbours and then the label of that label, so
+    chains shorten by half a round. Only the number of changed labels
+    reaches the driver.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"))
+    links = cut(links.select("a", "b"))
+    # As many tasks as the links need, not as many as made them.
+    tasks = max(1, -(-links.count() // _LINKS))
+    links = links.where(F.col("a") != F.col("b")).coalesce(tasks).mapInArrow(_stars, "a bigint, b bigint")
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = cut(links.select(F.explode(ends).alias("ends")).select("ends.*"))
     labels = cut(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")))
     while True:
         heard = (

@@ -89,6 +89,21 @@ def test_chain_of_components(spark):
     assert {found[i] for i in range(21, 41)} == {21}
 
 
+def test_components_of_random_links(spark, monkeypatch):
+    """The same in one task and in many, each of which sees a part of every chain."""
+    rng = np.random.default_rng(13)
+    links = [tuple(map(int, rng.integers(0, 400, 2) * 7 - 300)) for _ in range(300)]
+    top = {n: n for link in links for n in link}
+    for _ in range(400):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(16)
+    expected = {n: t for n, t in top.items() if any(n in link and link[0] != link[1] for link in links)}
+    for most in (1 << 20, 10):
+        monkeypatch.setattr(near_dedup, "_LINKS", most)
+        assert {r.node: r.root for r in components(frame).collect()} == expected
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     rows = as_rows(near_duplicates(docs))
