@@ -128,10 +128,12 @@ class Tree:
         """Beginnings and radii of the nodes of a level; the last one has all points."""
         return self.levels[min(number, len(self.levels) - 1)]
 
-    def children(self, number: int, node: int) -> np.ndarray:
+    def children(self, number: int, nodes: np.ndarray) -> np.ndarray:
         begins, next_ = self.level(number)[0], self.level(number + 1)[0]
-        end = begins[node + 1] if node + 1 < len(begins) else len(self.raw)
-        return np.arange(*np.searchsorted(next_, [begins[node], end]))
+        ends = np.append(begins[1:], len(self.raw))[nodes]
+        first, last = np.searchsorted(next_, begins[nodes]), np.searchsorted(next_, ends)
+        counts = last - first
+        return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
     def points_of(self, number: int, node: int) -> slice:
         begins = self.level(number)[0]
@@ -170,8 +172,7 @@ class Meeting:
         stack = [(0, np.array([0]), np.array([0]))]
         while stack:
             level, left, right = stack.pop()
-            for i, j in self._nodes(level, left, right):
-                stack.append((level + 1, a.children(level, i), b.children(level, j)))
+            stack += [(level + 1, a.children(level, i), b.children(level, j)) for i, j in self._nodes(level, left, right)]
 
     def _candidates(self, level: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of nodes that may be near enough, by products in single precision."""
@@ -202,27 +203,38 @@ class Meeting:
             found[k] = exact if np.isfinite(exact) else found[k]
         return found
 
-    def _nodes(self, level: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-        """Links what can be decided about these nodes; the pairs of which it can't."""
+    def _nodes(self, level: int, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links what can be decided about pairs of these nodes; sets of nodes that all have to be opened against each other."""
         (begin, reach), (other_begin, other_reach) = self.a.level(level), self.b.level(level)
-        deeper: list[tuple[int, int]] = []
+        found, open_ = [], []
         for i, j in self._candidates(level, left, right):
-            self.compared += len(i)
-            x, y = begin[i], other_begin[j]
-            cosine = self._cosines(x, y)
+            cosine = self._cosines(begin[i], other_begin[j])
             distance = np.sqrt(np.maximum(0, 2 - 2 * cosine))
             both = reach[i].astype(np.float64) + other_reach[j]
-            points = both == 0
-            linked = points & (cosine >= self.cosine)
-            if self.within:
-                linked &= x != y
-            self._link(x[linked], y[linked])
-            whole = ~points & (distance + both <= self.limit - _SLACK)
+            whole = (both > 0) & (distance + both <= self.limit - _SLACK)
+            more = (both > 0) & ~whole & (distance <= self.limit + both + _SLACK)
+            self.compared += len(i)
+            open_.append(np.stack([i[more], j[more]]))
+            found.append((i, j, (both == 0) & (cosine >= self.cosine), whole))
+            if sum(pairs.shape[1] for pairs in open_) > 2 * (len(left) + len(right)):
+                # Few bounds tell here: all children against all is quicker than pair by pair.
+                return [(left, right)]
+        for i, j, linked, whole in found:
+            x, y = begin[i[linked]], other_begin[j[linked]]
+            apart = x != y if self.within else np.ones(len(x), bool)
+            self._link(x[apart], y[apart])
             for m, n in zip(i[whole].tolist(), j[whole].tolist(), strict=True):
                 self._link_all(self.a.points_of(level, m), self.b.points_of(level, n))
-            open_ = ~points & ~whole & (distance <= self.limit + both + _SLACK)
-            deeper += zip(i[open_].tolist(), j[open_].tolist(), strict=True)
-        return deeper
+        i, j = np.concatenate(open_, axis=1) if open_ else np.empty((2, 0), int)
+        if not len(i):
+            return []
+        turned = len(np.unique(i)) > len(np.unique(j))
+        by, of = (j, i) if turned else (i, j)
+        order = np.argsort(by, kind="stable")
+        by, of = by[order], of[order]
+        starts = np.flatnonzero(np.diff(by, prepend=-1))
+        groups = [(by[s : s + 1], np.sort(some)) for s, some in zip(starts, np.split(of, starts[1:]), strict=True)]
+        return [(some, one) for one, some in groups] if turned else groups
 
     def _link(self, x: np.ndarray, y: np.ndarray) -> None:
         np.add.at(self.counts, x, self.b.weights[y])
