@@ -14,43 +14,47 @@ automaton carries its state, takes failure arcs until the state has an arc
 for the word, and adds up the weights.
 
 The automaton of a large corpus is too large to broadcast, and a text needs
-little of it. Texts are put into blocks of about 2 MB. A block asks for the
-counts of its distinct n-grams, and brings along how often its own training
-texts hold them: 6 bytes each, sorted, a row for each of the buckets that
-the n-grams are spread over. A bucket adds up the blocks' counts and answers
-each block in the order it asked. So an n-gram, however frequent, crosses
-the network once per block. The block then builds its part of the automaton
-and reads its texts.
+little of it. Texts are put into blocks of about 2 MB, runs of rows as they
+are read, each stored once. A block asks for the counts of its distinct
+n-grams, and brings along how often its own training texts hold them: sorted
+hashes as differences, a row for each of the buckets that the n-grams are
+spread over. A bucket adds up the blocks' counts and answers each block in
+the order it asked. So an n-gram, however frequent, crosses the network once
+per block. The block then builds its part of the automaton and reads its
+texts. There an arc is found by the n-gram that a state's history and the
+word make, and a state by the history it stands for.
+
+N-grams are hashes: words of 56 bits, longer ones of 48, so that two in
+10,000 n-grams of a corpus of 10**11 different ones share a count.
 
 Defined results: null and empty texts are one token, the end; documents
 without an id are scored, do not train and are not held out; repeated rows
-each train and get their row; with nothing to train on every token is
-unknown (N = V = 0).
+each train and get their row, and may stand in any block; with nothing to
+train on every token is unknown (N = V = 0); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, spaced_words
+from ledgerline.llm.common import cut, ship, spaced_words
 
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+BLOCK_BYTES, BLOCK_ROWS, BUCKET_BYTES = 2 << 20, 50_000, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 48) - 1)
 # Bytes above 127 alone are no UTF-8 text, so no word has these hashes' names.
 _START, _END = (xxhash.xxh3_64_intdigest(name) for name in (b"\xff start", b"\xff end"))
 
-_PACK = "block bigint, pack binary"
+_PACK = "pack binary"
 _ASKED = "bucket bigint, size int, block bigint, grams binary, counts binary"
 _ANSWER = "block bigint, size int, bucket bigint, counts binary, kinds bigint, total bigint"
 _SCORES = (
@@ -67,11 +71,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _squeezed(counts: np.ndarray) -> bytes:
     """Compressed, in the fewest bytes each that hold the largest, after their number."""
     width = np.min_scalar_type(int(counts.max(initial=0))).itemsize
-    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+    return bytes([width]) + zstandard.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
 def _loosened(counts: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(counts[1:]), f"<u{counts[0]}").astype(np.int64)
+    return np.frombuffer(zstandard.decompress(counts[1:]), f"<u{counts[0]}").astype(np.int64)
+
+
+def _lowest(size: int) -> np.uint64:
+    """Bits that an n-gram's hash loses on the way."""
+    return np.uint64(8 if size == 1 else 16)
+
+
+def _coded(grams: np.ndarray, size: int) -> bytes:
+    """Sorted hashes as differences, their lowest bytes first, then the next ones."""
+    kept = grams >> _lowest(size)
+    steps = np.diff(kept, prepend=np.uint64(0))
+    steps[0] = 0
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    used = 8 - int(np.argmax(planes[::-1].any(1))) if planes.any() else 1
+    return int(kept[0]).to_bytes(8, "little") + bytes([used]) + zstandard.compress(planes[:used].tobytes(), 1)
+
+
+def _decoded(coded: bytes) -> np.ndarray:
+    used, raw = coded[8], np.frombuffer(zstandard.decompress(coded[9:]), np.uint8)
+    steps = np.zeros((len(raw) // used, 8), np.uint8)
+    steps[:, :used] = raw.reshape(used, -1).T
+    steps = steps.view("<u8").ravel()
+    steps[0] = int.from_bytes(coded[:8], "little")
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 class Block:
@@ -107,52 +135,60 @@ def _edges(grams: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows put together by block, compressed: they are shuffled twice."""
-    for batch in batches:
-        rows: dict[int, list] = {}
-        for block, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            rows.setdefault(block, []).append(row)
-        packs = [zlib.compress(pickle.dumps(some), 1) for some in rows.values()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(rows), pa.int64()), pa.array(packs, pa.binary())], ["block", "pack"]
-        )
+def _packer(block_bytes: int):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows, doc_id, learns, held_out and text of each."""
+        rows, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            pack = zstandard.compress(pickle.dumps(rows), 3)
+            return pa.RecordBatch.from_arrays([pa.array([pack], pa.binary())], ["pack"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+                rows.append(tuple(value.as_py() for value in row))
+                size += len(rows[-1][3] or b"")
+                if size >= block_bytes or len(rows) >= BLOCK_ROWS:
+                    yield out()
+                    rows, size = [], 0
+        if rows:
+            yield out()
+
+    return packed
 
 
-def _opened(packs: pd.Series) -> list[list]:
-    """doc_id, learns, held_out and text of a block's rows, in an order that is always the same."""
-    rows = [row for pack in packs for row in pickle.loads(zlib.decompress(pack))]
-    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[3] or b""))
+def _opened(pack: bytes, order: int) -> tuple[list[tuple], Block]:
+    rows = pickle.loads(zstandard.decompress(pack))
+    return rows, Block([r[3] for r in rows], np.array([r[1] for r in rows]), order)
 
 
 def _asker(order: int, buckets: int):
-    def asked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = _opened(frame["pack"])
-        block = Block([r[3] for r in rows], np.array([r[1] for r in rows]), order)
-        out = []
-        for size in range(1, order + 1):
-            grams, own = block.grams[size - 1], block.own[size - 1]
-            edges = _edges(grams, buckets)
-            low = grams.view(np.uint8).reshape(-1, 8)[:, :6]
-            for bucket in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[bucket], edges[bucket + 1])
-                out.append((bucket, size, key[0], low[part].tobytes(), _squeezed(own[part])))
-        return pd.DataFrame(out, columns=["bucket", "size", "block", "grams", "counts"])
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, pack in zip(batch.column("block"), batch.column("pack"), strict=True):
+                block = _opened(pack.as_py(), order)[1]
+                out: list[tuple] = []
+                for size in range(1, order + 1):
+                    grams, own = block.grams[size - 1], block.own[size - 1]
+                    edges = _edges(grams, buckets)
+                    for bucket in np.flatnonzero(np.diff(edges)):
+                        part = slice(edges[bucket], edges[bucket + 1])
+                        out.append((bucket, size, number.as_py(), _coded(grams[part], size), _squeezed(own[part])))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                arrays = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                if arrays:
+                    yield pa.RecordBatch.from_arrays(arrays, ["bucket", "size", "block", "grams", "counts"])
 
     return asked
 
 
 def _answered(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Counts over all blocks for the n-grams of one size in one bucket."""
-    grams, counts = [], []
-    for raw, own in zip(frame["grams"], frame["counts"], strict=True):
-        low = np.zeros((len(raw) // 6, 8), np.uint8)
-        low[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        grams.append(low.view("<u8").ravel())
-        counts.append(_loosened(own))
+    grams = [_decoded(coded) for coded in frame["grams"]]
     lengths = [len(g) for g in grams]
     _, which = np.unique(np.concatenate(grams), return_inverse=True)
-    sums = np.bincount(which, np.concatenate(counts)).astype(np.int64)
+    del grams
+    sums = np.bincount(which, np.concatenate([_loosened(own) for own in frame["counts"]])).astype(np.int64)
     parts = np.split(sums[which], np.cumsum(lengths)[:-1])
     first = np.arange(len(parts)) == 0
     return pd.DataFrame(
@@ -168,103 +204,75 @@ def _answered(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 class Automaton:
-    """The part of the model that one block's texts can reach."""
+    """The part of the model that one block's texts can reach.
+
+    A state stands for a history of `k` words, 0 to order - 1, and is named
+    by k and the place in the block where it ends. Its arc for the next word
+    is the (k + 1)-gram that ends there.
+    """
 
     def __init__(self, block: Block, counts: list[np.ndarray], tokens: int, kinds: int, starts: int, prior: float):
-        self.words = np.zeros(block.n_tokens, np.int64)
-        self.words[block.places[0]] = block.which[0]
-        self.width = max(1, len(block.grams[0]))
-        order = len(counts)
-        # State 0 has no history, state 1 is the start of a text.
-        self.first = 1 if order > 1 else 0
-        self.fail: list[int] = [0, 0]
-        self.backoff: list[float] = [0.0, math.log10(prior / (starts + prior))]
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.base = np.log10((counts[0] + 1) / (tokens + kinds + 1))
-        # By place: count and state of the history that ends there, probability of its last word.
-        seen, state = np.zeros(block.n_tokens, np.int64), np.zeros(block.n_tokens, np.int64)
-        seen[block.begins], state[block.begins] = starts, 1
-        chance = np.zeros(block.n_tokens)
-        shorter = np.zeros(block.n_tokens, np.int64)
-        for size, count in enumerate(counts, 1):
-            at, which = block.places[size - 1], block.which[size - 1]
+        self.order, n = len(counts), block.n_tokens
+        #: By k and place: whether there is an arc, its weight, and that of the failure arc of the state there.
+        self.arcs = np.zeros((self.order, n), bool)
+        self.weights = np.zeros((self.order, n))
+        self.fails = np.zeros((self.order, n))
+        above = chance = np.zeros(n)
+        for k, count in enumerate(counts):
+            at, which = block.places[k], block.which[k]
             here = count[which]
-            history = at - 1
-            if size == 1:
+            if k == 0:
                 probability = (here + 1) / (tokens + kinds + 1)
-                origin = np.zeros(len(at), np.int64)
             else:
-                above = seen[history]
-                probability = (here + prior * chance[at]) / (above + prior)
-                origin = state[history]
-            exists = here > 0
-            if size < order:
-                # Every seen n-gram is a history, its failure arc goes to the next shorter one.
-                numbers = np.full(len(count), 0, np.int64)
-                new = np.flatnonzero(count > 0)
-                numbers[new] = len(self.fail) + np.arange(len(new))
-                suffix = np.zeros(len(count), np.int64)
-                suffix[which] = shorter[at]
-                self.fail.extend(suffix[new].tolist())
-                self.backoff.extend(np.log10(prior / (count[new] + prior)).tolist())
-                target = numbers[which]
-            else:
-                target = shorter[at]
-            use = exists if size > 1 else np.ones(len(at), bool)
-            keys = origin[use] * self.width + self.words[at[use]]
-            weights = np.log10(probability[use])
-            self.arcs.update(zip(keys.tolist(), zip(weights.tolist(), target[use].tolist(), strict=True), strict=True))
-            if size < order:
-                seen, state = np.zeros(block.n_tokens, np.int64), np.zeros(block.n_tokens, np.int64)
-                seen[at], state[at] = here, target
-                if size == 1:
-                    seen[block.begins], state[block.begins] = starts, 1
-                chance = np.zeros(block.n_tokens)
-                chance[at] = probability
-                shorter = state.copy()
-
-    def read(self, words: list[int]) -> float:
-        """Log-probability of one text."""
-        arcs, width, fail, backoff = self.arcs, self.width, self.fail, self.backoff
-        state, total = self.first, 0.0
-        for word in words:
-            arc = arcs.get(state * width + word)
-            while arc is None:
-                total += backoff[state]
-                state = fail[state]
-                arc = arcs.get(state * width + word)
-            total += arc[0]
-            state = arc[1]
+                probability = (here + prior * chance[at]) / (above[at - 1] + prior)
+            self.arcs[k, at] = here > 0
+            self.weights[k, at] = np.log10(probability)
+            above, chance = np.zeros(n), np.zeros(n)
+            above[at], chance[at] = here, probability
+            if k == 0:
+                above[block.begins] = starts
+            if k + 1 < self.order:
+                self.fails[k + 1] = np.log10(prior / (above + prior))
+
+    def read(self, begin: int, end: int) -> float:
+        """Log-probability of the text whose words are at begin + 1 to end."""
+        arcs, weights, fails = (table[:, begin:end].tolist() for table in (self.arcs, self.weights, self.fails))
+        most = self.order - 1
+        state, total = min(1, most), 0.0
+        for at in range(1, end - begin):
+            while state and not arcs[state][at]:
+                total += fails[state][at - 1]
+                state -= 1
+            total += weights[state][at]
+            if state or arcs[0][at]:
+                state = min(state + 1, most)
         return total
 
 
 def _scorer(order: int, tokens: int, kinds: int, starts: int, prior: float):
     def scored(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        rows = _opened(packs["pack"])
-        block = Block([r[3] for r in rows], np.array([r[1] for r in rows]), order)
+        out = []
         answers = answers.sort_values(["size", "bucket"])
         counts = [
-            np.concatenate([_loosened(c) for c in answers.loc[answers["size"] == size, "counts"]])
+            np.concatenate([_loosened(c) for c in answers.loc[answers["size"] == size, "counts"]] or [np.empty(0, np.int64)])
             for size in range(1, order + 1)
         ]
-        automaton = Automaton(block, counts, tokens, kinds, starts, prior)
-        words = automaton.words.tolist()
-        base = automaton.base.tolist()
-        known = (counts[0] > 0).tolist()
-        out = []
-        for row, begin, length in zip(rows, block.begins.tolist(), block.lengths.tolist(), strict=True):
-            own = words[begin + 1 : begin + length]
-            out.append(
-                (
-                    row[0],
-                    row[2],
-                    len(own),
-                    sum(known[w] for w in own),
-                    tokens,
-                    math.fsum(base[w] for w in own),
-                    automaton.read(own),
+        for pack in packs["pack"]:
+            rows, block = _opened(pack, order)
+            automaton = Automaton(block, counts, tokens, kinds, starts, prior)
+            for row, begin, length in zip(rows, block.begins.tolist(), block.lengths.tolist(), strict=True):
+                own = slice(begin + 1, begin + length)
+                out.append(
+                    (
+                        row[0],
+                        row[2],
+                        length - 1,
+                        int(automaton.arcs[0, own].sum()),
+                        tokens,
+                        math.fsum(automaton.weights[0, own].tolist()),
+                        automaton.read(begin, begin + length),
+                    )
                 )
-            )
         frame = pd.DataFrame(out, columns=[part.split()[0] for part in _SCORES.split(", ")])
         return frame.astype({"doc_id": "Int64"})
 
@@ -278,7 +286,7 @@ def remainder(doc_id: str = "doc_id", folds: int = 7) -> Column:
 def score(
     docs: DataFrame,
     *,
-    order: int = 2,
+    order: int = 3,
     prior: float = 32.0,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
@@ -289,18 +297,19 @@ def score(
 
     Counting runs at once, scoring when the result is used.
     """
+    ship(docs.sparkSession)
     learns = F.coalesce(remainder(folds=folds) != held, F.lit(False))
     size, starts = docs.agg(F.sum(F.octet_length("text")), F.sum(learns.cast("bigint"))).first()
-    blocks = max(1, -(-(size or 0) // block_bytes))
     buckets = max(1, -(-(size or 0) // bucket_bytes))
-    packs = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("bigint").alias("block"),
+    rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         learns.alias("learns"),
         F.coalesce(remainder(folds=folds) == held, F.lit(False)).alias("held_out"),
         F.col("text").cast("binary").alias("text"),
-    ).mapInArrow(_packed, _PACK)
-    asked = packs.groupBy("block").applyInPandas(_asker(order, buckets), _ASKED)
+    )
+    packs = rows.mapInArrow(_packer(block_bytes), _PACK).withColumn("block", F.monotonically_increasing_id())
+    packs = cut(packs)
+    asked = packs.mapInArrow(_asker(order, buckets), _ASKED)
     answers = cut(asked.groupBy("bucket", "size").applyInPandas(_answered, _ANSWER))
     kinds, tokens = answers.where(F.col("size") == 1).agg(F.sum("kinds"), F.sum("total")).first()
     scorer = _scorer(order, int(tokens or 0), int(kinds or 0), int(starts or 0), prior)

@@ -74,7 +74,7 @@ def test_equals_the_formula(spark, order, prior):
 def test_production_blocks_equal_the_formula(spark):
     docs = documents(spark, MEDIUM)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 2, 32.0))
+    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 3, 32.0))
 
 
 def test_beats_the_base_on_held_out_texts(spark):
@@ -86,7 +86,7 @@ def test_beats_the_base_on_held_out_texts(spark):
 def test_edges(spark):
     docs = edge_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 2, 32.0))
+    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 3, 32.0))
     assert score(no_docs(spark)).collect() == []
     held = docs.where("doc_id is null")
     assert all(r.train_tokens == 0 and not r.held_out for r in score(held).collect())
@@ -96,4 +96,4 @@ def test_edges(spark):
 def test_table_of_one_document(spark):
     docs = documents(spark, SMALL).where("doc_id = 3")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 2, 32.0))
+    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 3, 32.0))
