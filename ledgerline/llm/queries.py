@@ -42,10 +42,14 @@ def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    # A new cache each time, so that a run does not depend on earlier ones.
+    # A new cache each time, so that a run does not depend on earlier ones. It is
+    # filled by one half of the documents and met by the other.
     cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return token_counts.count_cached(_table(spark, sf_dir, "documents"), cache, vocabulary)
+    docs = _table(spark, sf_dir, "documents")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    first, second = (token_counts.count_cached(docs.where(half == k), cache, vocabulary) for k in (0, 1))
+    return first.union(second)
 
 
 def _scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import cut, ship
 
 _PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 _OTHER_SPACE = re.compile(r"[^\S \t\r\n]")
@@ -86,6 +86,7 @@ def count_cached(
     once, reading the counts when the result is used.
     """
     spark = docs.sparkSession
+    ship(spark)
     version = tokenizer_digest(tokenizer_path)
     body = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", body.alias("body"), F.unhex(F.sha2(body, 256)).alias("content"))
