@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_BYTES, cut
+from ledgerline.llm.common import BROADCAST_BYTES, cut, ship
 
 UNKNOWN = "und"
 BITS = 15
@@ -240,6 +240,7 @@ def sampled(labelled: DataFrame, fit_rows: int) -> DataFrame:
 
 def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
     """Train on rows of doc_id, text and lang, a bounded sample of them."""
+    ship(labelled.sparkSession)
     rows = cut(sampled(labelled, fit_rows).mapInArrow(_featured, _SAMPLE))
     texts, seen = 0, np.zeros(1 << BITS)
     for part in rows.where(F.col("opening") == 0).select("grams").mapInArrow(_held, "texts bigint, seen binary").collect():
@@ -258,6 +259,7 @@ def fit(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) ->
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Columns `doc` (the given row) and `found` (lang_pred, score, rejected)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_RESULT)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import letter_words
+from ledgerline.llm.common import letter_words, ship
 
 # Phrases and labels that the results must have.
 BASE = {
@@ -211,6 +211,7 @@ def _scanned(texts: pd.Series) -> pd.DataFrame:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id and findings of every document."""
+    ship(docs.sparkSession)
     scanned = F.pandas_udf(_scanned, _RESULT)
     found = docs.select("doc_id", scanned(F.col("text").cast("binary")).alias("found"))
     return found.select("doc_id", "found.*")

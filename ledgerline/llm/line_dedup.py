@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_BYTES, cut, shared_folder, ship
+from ledgerline.llm.common import BROADCAST_BYTES, cut, discard, shared_folder, ship
 
 SEGMENTS, PARTS = 4, 8
 #: Shortest line with patterns, and shortest that may have two segments open.
@@ -134,12 +134,10 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(lined, _LINES)
 
 
-def _stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder in fewer bytes than a checkpoint takes."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _stored(frame: DataFrame, path: str) -> DataFrame:
+    """The frame, written in fewer bytes than a checkpoint takes."""
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    return frame.sparkSession.read.parquet(path)
 
 
 def _small(frame: DataFrame, row_bytes: int) -> DataFrame:
@@ -250,7 +248,8 @@ def drop_lines(
     bodies = docs.select(
         F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary")
     )
-    lines = _stored(_lines(bodies, min_words if short_texts is None else 1), "lines")
+    folder = f"{shared_folder(docs.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines = _stored(_lines(bodies, min_words if short_texts is None else 1), f"{folder}/lines")
     alike = lines.groupBy(*_LINE).agg(
         F.min("digest").alias("digest"),
         F.max("digest").alias("last"),
@@ -258,7 +257,7 @@ def drop_lines(
         F.max("n").alias("n"),
         *(F.max(name).alias(name) for name in _CUTS),
     )
-    alike = _stored(alike, "line-names")
+    alike = _stored(alike, f"{folder}/names")
     several = alike.where(F.col("digest") != F.col("last")) if min_texts > 1 else alike
     long = several.where(F.col("n") >= min_words).select(*_LINE, F.col("doc_id").alias("first_id"))
     if min_texts > 2:
@@ -279,6 +278,7 @@ def drop_lines(
         .agg(F.collect_set("number").alias("gone"))
         .withColumnsRenamed({"doc_id": "gone_id", "digest": "gone_digest"})
     )
+    discard(docs.sparkSession, folder)
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
     without = F.arrow_udf(_without, "text string, n_lines bigint, n_dropped bigint")
     return rows.join(drops, same, "left").select("doc", without("doc.text", "gone").alias("left"))

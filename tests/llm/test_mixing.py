@@ -136,3 +136,26 @@ def test_edges(spark):
     assert len(rows) == 12
     assert {r.taken for r in rows if r["size"] == 0} == {0}
     assert mix(no_docs(spark)).collect() == []
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    """A source of equal rows, and a third of all rows equal, come near their targets."""
+    rows = [(1, "a b c d", "a")] * 600 + [(None, None, "b")] * 300
+    rows += [(10 + i, " ".join(["w"] * (1 + i % 5)), "bc"[i % 2]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    found = mix(docs).collect()
+    assert len(found) == len(rows)
+    taken, target = defaultdict(int), {}
+    for row in found:
+        assert row.taken <= 3 * row.size
+        taken[row.source_size] += row.taken
+        target[row.source_size] = row.target
+    assert len(target) == 3
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+    with_texts = mix(docs.repartition(3), keep=("text", "source")).collect()
+    again = defaultdict(int)
+    for row in with_texts:
+        again[row.source] += row.taken
+    assert sorted(again.values()) == sorted(taken.values())
+    tie = lambda row: (row.doc_id or 0, row.size, row.taken)
+    assert sorted(map(tie, mix(docs.repartition(2)).collect())) == sorted(map(tie, found))

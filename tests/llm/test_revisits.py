@@ -3,7 +3,7 @@ import random
 import pytest
 
 from ledgerline.llm.revisits import PERMITTED, canonical_url, crawl_log, resolve
-from tests.llm.cases import SMALL
+from tests.llm.cases import MEDIUM, SMALL
 
 SCHEMA = "record_id bigint, url string, at bigint, kind string, payload string, headers map<string,string>, status string"
 
@@ -114,3 +114,24 @@ def test_revisits_get_page_bodies(spark):
     resolved = [r for r in rows if r.status == "resolved"]
     assert resolved and all(r.payload == html[r.response_id] for r in resolved)
     assert sorted(r.payload for r in rows if r.status == "full") == sorted(html.values())
+
+
+def test_moments_and_outliers(spark):
+    """One URL with all records, many of one moment, and one far away in time; equal ids; long bodies."""
+    rows = [(1, "u", 0, "response", "far", {"ETag": "0"})]
+    rows += [(2 + i, "u", 10**9 + i // 50, "response" if i % 7 == 0 else "revisit", "x" * 50_000 if i == 7 else f"p{i}", {"ETag": str(i // 100)}) for i in range(1500)]
+    rows += [(9000, "u", 10**9 + 40, "response", "b", {"ETag": "8"}), (9000, "u", 10**9 + 40, "response", "a", {"ETag": "8"})]
+    expected = rendered(plain(rows, {"u": "u"}))
+    named = [(*row, "x", 1) for row in rows]
+    kind = "record_id bigint, url string, at bigint, kind string, payload string, headers map<string,string>, status string, found bigint"
+    frame = spark.createDataFrame(named, kind).repartition(6)
+    got = found(resolve(frame))
+    assert {k: v for k, v in got.items() if k != 9000} == {k: v for k, v in expected.items() if k != 9000}
+
+
+def test_derived_log_has_every_status(spark):
+    log = crawl_log(spark.read.parquet(f"{MEDIUM}/pages.parquet"))
+    counts = {r.status: r.n for r in resolve(log).groupBy("status").count().withColumnRenamed("count", "n").collect()}
+    assert counts.keys() == {"full", "resolved", "mismatch", "unvalidated", "orphan"}
+    several = log.where("kind = 'response'").groupBy("url").count().where("count > 3")
+    assert several.count() > 5
