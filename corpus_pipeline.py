@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from ledgerline.llm.common import shared_folder, ship
+from ledgerline.llm.common import discard, shared_folder, ship
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(docs, keep=("text", "lang", "source", "n_chars"))
+    kept = [name for name in ("text", "lang", "source", "n_chars") if name in docs.columns]
+    rows = mixing.mix(docs, keep=tuple(kept))
     return rows.where(F.col("copies") > 0)
 
 
@@ -62,11 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over the documents of `sf_dir`."""
+    """Every stage over the documents of `sf_dir`. The last one's rows stay in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            discard(spark, f"{folder}/{number - 1}")
     return docs
