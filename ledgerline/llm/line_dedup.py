@@ -280,7 +280,8 @@ def drop_lines(
     )
     discard(docs.sparkSession, folder)
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
-    without = F.arrow_udf(_without, "text string, n_lines bigint, n_dropped bigint")
+    # Else a filter on the result would run it a second time, beside the first.
+    without = F.arrow_udf(_without, "text string, n_lines bigint, n_dropped bigint").asNondeterministic()
     return rows.join(drops, same, "left").select("doc", without("doc.text", "gone").alias("left"))
 
 
