@@ -1,6 +1,11 @@
+import hashlib
+from collections import defaultdict
+
 import corpus_pipeline
-from ledgerline.llm import decontamination, near_dedup
-from tests.llm.cases import MEDIUM, documents, edge_docs, no_docs
+from ledgerline.llm import decontamination, language_id, near_dedup
+from ledgerline.llm.line_dedup import WHOLE
+from tests.llm import test_decontamination, test_line_dedup, test_mixing, test_near_dedup
+from tests.llm.cases import MEDIUM, SMALL, documents, edge_docs, no_docs
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,3 +51,48 @@ def test_awkward_documents_pass_every_stage(spark):
             rows = docs.collect()
             assert name == "mixing" or docs.columns == columns
         assert all(r.copies >= 1 for r in rows)
+
+
+def test_stages_equal_brute_force(spark):
+    """Each stage against a plain version of it, on what its predecessor kept."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = documents(spark).repartition(4)
+
+    def after(name):
+        kept = stages[name](spark, docs, str(SMALL)).cache()
+        return kept, {r.doc_id: r for r in kept.collect()}, [(r.doc_id, r.text) for r in docs.collect()]
+
+    kept, found, rows = after("language")
+    model = language_id.fit(docs.where(language_id.learns()))
+    verdicts = zip(rows, model.predict([text for _, text in rows]), strict=True)
+    assert set(found) == {doc_id for (doc_id, _), (_, _, rejected) in verdicts if not rejected}
+
+    docs = kept
+    kept, found, rows = after("lines")
+    for doc_id, _, n_dropped, digest in test_line_dedup.plain(spark, rows, **WHOLE):
+        if doc_id in found:
+            assert hashlib.sha256(found[doc_id].text.encode()).hexdigest() == digest
+        else:
+            assert n_dropped > 0
+    assert len(found) > 0.8 * len(rows)
+
+    docs = kept
+    kept, found, rows = after("near duplicates")
+    assert set(found) == {row[0] for row in test_near_dedup.plain_components(rows) if row[3]}
+
+    docs = kept
+    kept, found, rows = after("benchmark")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    assert set(found) == {doc_id for doc_id, text in rows if not test_decontamination.plain(text, items)[-1]}
+
+    docs = kept
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    kept, found, rows = after("mixing")
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for doc_id, text in rows:
+        sizes[sources[doc_id]] += test_mixing.size_of(text)
+    for row in found.values():
+        taken[row.source] += row.taken
+    target = test_mixing.plain_targets(sizes)
+    largest = max(test_mixing.size_of(text) for _, text in rows)
+    assert all(abs(taken[s] - target[s]) <= largest for s in sizes)
