@@ -24,8 +24,9 @@ per block. The block then builds its part of the automaton and reads its
 texts. There an arc is found by the n-gram that a state's history and the
 word make, and a state by the history it stands for.
 
-N-grams are hashes: words of 56 bits, longer ones of 48, so that two in
-10,000 n-grams of a corpus of 10**11 different ones share a count.
+N-grams are hashes: words of 56 bits, longer ones of 37 within their bucket,
+which has some millions however large the corpus is: 3 in 100,000 share a
+count with another.
 
 Defined results: null and empty texts are one token, the end; documents
 without an id are scored, do not train and are not held out; repeated rows
@@ -78,14 +79,14 @@ def _loosened(counts: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(counts[1:]), f"<u{counts[0]}").astype(np.int64)
 
 
-def _lowest(size: int) -> np.uint64:
-    """Bits that an n-gram's hash loses on the way."""
-    return np.uint64(8 if size == 1 else 16)
+def _lowest(size: int, buckets: int) -> np.uint64:
+    """Bits that an n-gram's hash loses on the way: all but 37 within its bucket, for words all but 56."""
+    return np.uint64(8 if size == 1 else max(8, 64 - 37 - (buckets - 1).bit_length()))
 
 
-def _coded(grams: np.ndarray, size: int) -> bytes:
-    """Sorted hashes as differences, their lowest bytes first, then the next ones."""
-    kept = grams >> _lowest(size)
+def _coded(grams: np.ndarray, lowest: np.uint64) -> bytes:
+    """Sorted hashes without their lowest bits as differences, the low bytes of all first, then the next ones."""
+    kept = grams >> lowest
     steps = np.diff(kept, prepend=np.uint64(0))
     steps[0] = 0
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
@@ -141,7 +142,7 @@ def _packer(block_bytes: int):
         rows, size = [], 0
 
         def out() -> pa.RecordBatch:
-            pack = zstandard.compress(pickle.dumps(rows), 3)
+            pack = zstandard.compress(pickle.dumps(rows), 6)
             return pa.RecordBatch.from_arrays([pa.array([pack], pa.binary())], ["pack"])
 
         for batch in batches:
@@ -173,7 +174,7 @@ def _asker(order: int, buckets: int):
                     edges = _edges(grams, buckets)
                     for bucket in np.flatnonzero(np.diff(edges)):
                         part = slice(edges[bucket], edges[bucket + 1])
-                        out.append((bucket, size, number.as_py(), _coded(grams[part], size), _squeezed(own[part])))
+                        out.append((bucket, size, number.as_py(), _coded(grams[part], _lowest(size, buckets)), _squeezed(own[part])))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 arrays = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
                 if arrays:
