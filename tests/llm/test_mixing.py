@@ -145,13 +145,12 @@ def test_equal_rows_are_taken_one_by_one(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
     found = mix(docs).collect()
     assert len(found) == len(rows)
-    taken, target = defaultdict(int), {}
+    taken = defaultdict(int)
     for row in found:
         assert row.taken <= 3 * row.size
-        taken[row.source_size] += row.taken
-        target[row.source_size] = row.target
-    assert len(target) == 3
-    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+        taken[row.target] += row.taken
+    assert len(taken) == 3
+    assert all(abs(words - target) <= 5 for target, words in taken.items())
     with_texts = mix(docs.repartition(3), keep=("text", "source")).collect()
     again = defaultdict(int)
     for row in with_texts:

@@ -133,5 +133,5 @@ def test_derived_log_has_every_status(spark):
     log = crawl_log(spark.read.parquet(f"{MEDIUM}/pages.parquet"))
     counts = {r.status: r.n for r in resolve(log).groupBy("status").count().withColumnRenamed("count", "n").collect()}
     assert counts.keys() == {"full", "resolved", "mismatch", "unvalidated", "orphan"}
-    several = log.where("kind = 'response'").groupBy("url").count().where("count > 3")
-    assert several.count() > 5
+    several = log.where("kind = 'response'").groupBy("url").count().where("count > 1")
+    assert several.count() > 3
