@@ -14,19 +14,20 @@ automaton carries its state, takes failure arcs until the state has an arc
 for the word, and adds up the weights.
 
 The automaton of a large corpus is too large to broadcast, and a text needs
-little of it. Texts are put into blocks of about 2 MB, runs of rows as they
-are read, each stored once. A block asks for the counts of its distinct
-n-grams, and brings along how often its own training texts hold them: sorted
-hashes as differences, a row for each of the buckets that the n-grams are
-spread over. A bucket adds up the blocks' counts and answers each block in
-the order it asked. So an n-gram, however frequent, crosses the network once
-per block. The block then builds its part of the automaton and reads its
-texts. There an arc is found by the n-gram that a state's history and the
-word make, and a state by the history it stands for.
-
-N-grams are hashes: words of 56 bits, longer ones of 37 within their bucket,
-which has some millions however large the corpus is: 3 in 100,000 share a
-count with another.
+little of it. Texts are put into blocks of about 4 MB, runs of rows as they
+are read, each stored once. A block asks twice for counts, and brings along how
+often its own training texts hold what it asks for. First it asks for its
+distinct words, by hash; the answer also numbers each word. Then it asks for
+its distinct longer n-grams, as a trie of word numbers cut by the first two
+words. Both go out in a row for each of the buckets that the words, or pairs
+of words, are spread over. A bucket adds up the blocks' counts and answers
+each block in the order it asked. So an n-gram, however frequent, crosses the
+network once per block. The block then builds its part of the automaton and
+reads its texts. There an arc is found by the n-gram that a state's history
+and the word make, and a state by the history it stands for.
+
+Words are told apart by hashes of 64 bits, n-grams by the numbers of all their
+words: two n-grams never share a count, unless two words share a hash.
 
 Defined results: null and empty texts are one token, the end; documents
 without an id are scored, do not train and are not held out; repeated rows
@@ -50,14 +51,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, ship, spaced_words
 
-BLOCK_BYTES, BLOCK_ROWS, BUCKET_BYTES = 2 << 20, 50_000, 16 << 20
+BLOCK_BYTES, BLOCK_ROWS, BUCKET_BYTES = 4 << 20, 50_000, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Bytes above 127 alone are no UTF-8 text, so no word has these hashes' names.
 _START, _END = (xxhash.xxh3_64_intdigest(name) for name in (b"\xff start", b"\xff end"))
 
 _PACK = "pack binary"
-_ASKED = "bucket bigint, size int, block bigint, grams binary, counts binary"
-_ANSWER = "block bigint, size int, bucket bigint, counts binary, kinds bigint, total bigint"
+_ASKED = "bucket bigint, block bigint, grams binary, counts binary"
+_ANSWER = "block bigint, size int, bucket bigint, numbers binary, counts binary, kinds bigint, total bigint"
 _SCORES = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
     "base_score double, score double"
@@ -69,71 +70,120 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def _squeezed(counts: np.ndarray) -> bytes:
-    """Compressed, in the fewest bytes each that hold the largest, after their number."""
-    width = np.min_scalar_type(int(counts.max(initial=0))).itemsize
-    return bytes([width]) + zstandard.compress(counts.astype(f"<u{width}").tobytes(), 1)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers: the lowest bytes of all, then the next ones, as far as any is not 0.
+
+    These are compressed apart where they are long, as they look unlike each other.
+    """
+    out = []
+    for column in columns:
+        planes = np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+        planes = planes[: (int(column.max(initial=0)).bit_length() + 7) // 8 or 1]
+        parts = planes if len(column) >= 512 else [planes]
+        out.append((len(column), [zstandard.compress(part.tobytes(), 1) for part in parts]))
+    return pickle.dumps(out)
 
 
-def _loosened(counts: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(counts[1:]), f"<u{counts[0]}").astype(np.int64)
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    columns = []
+    for length, parts in pickle.loads(packed):
+        raw = np.frombuffer(b"".join(zstandard.decompress(part) for part in parts), np.uint8)
+        column = np.zeros((length, 8), np.uint8)
+        if length:
+            column[:, : len(raw) // length] = raw.reshape(-1, length).T
+        columns.append(column.view("<u8").ravel())
+    return columns
 
 
-def _lowest(size: int, buckets: int) -> np.uint64:
-    """Bits that an n-gram's hash loses on the way: all but 37 within its bucket, for words all but 56."""
-    return np.uint64(8 if size == 1 else max(8, 64 - 37 - (buckets - 1).bit_length()))
+def _pairs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number for each pair, in the pairs' order."""
+    if int(high.max(initial=0)) * (int(low.max(initial=0)) + 1) >= 1 << 63:
+        high, low = (np.unique(x, return_inverse=True)[1] for x in (high, low))
+    return high.astype(np.int64) * (int(low.max(initial=0)) + 1) + low.astype(np.int64)
 
 
-def _coded(grams: np.ndarray, lowest: np.uint64) -> bytes:
-    """Sorted hashes without their lowest bits as differences, the low bytes of all first, then the next ones."""
-    kept = grams >> lowest
-    steps = np.diff(kept, prepend=np.uint64(0))
-    steps[0] = 0
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    used = 8 - int(np.argmax(planes[::-1].any(1))) if planes.any() else 1
-    return int(kept[0]).to_bytes(8, "little") + bytes([used]) + zstandard.compress(planes[:used].tobytes(), 1)
+def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, not falling as hashes rise."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _decoded(coded: bytes) -> np.ndarray:
-    used, raw = coded[8], np.frombuffer(zstandard.decompress(coded[9:]), np.uint8)
-    steps = np.zeros((len(raw) // used, 8), np.uint8)
-    steps[:, :used] = raw.reshape(used, -1).T
-    steps = steps.view("<u8").ravel()
-    steps[0] = int.from_bytes(coded[:8], "little")
-    return np.cumsum(steps, dtype=np.uint64)
+def _edges(own: np.ndarray, buckets: int) -> np.ndarray:
+    """Where sorted buckets go over from one to the next."""
+    return np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
 
 
 class Block:
-    """Tokens of a block's texts, and its distinct n-grams by hash."""
+    """Tokens of a block's texts, its distinct words by hash, and its distinct longer n-grams."""
 
-    def __init__(self, texts: list[bytes | None], learn: np.ndarray, order: int):
+    def __init__(self, texts: list[bytes | None], learn: np.ndarray):
         tokens = [[_START, *map(xxhash.xxh3_64_intdigest, spaced_words(t)), _END] for t in texts]
         self.lengths = np.array([len(t) for t in tokens])
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         flat = np.fromiter((h for t in tokens for h in t), np.uint64, int(self.lengths.sum()))
-        place = np.arange(len(flat)) - np.repeat(self.begins, self.lengths)
-        learning = np.repeat(learn, self.lengths)
-        self.places: list[np.ndarray] = []  # by size: where an n-gram ends
-        self.grams: list[np.ndarray] = []  # the distinct ones, sorted
-        self.which: list[np.ndarray] = []  # which of them ends there
-        self.own: list[np.ndarray] = []  # how often training texts of the block hold them
-        gram = flat
-        for size in range(1, order + 1):
-            if size > 1:
-                gram = np.concatenate([gram[:1], _mixed(gram[:-1] * _STEP + flat[1:])])
-            at = np.flatnonzero(place >= max(1, size - 1))
-            distinct, which = np.unique(gram[at], return_inverse=True)
+        self.n_tokens = len(flat)
+        self.place = np.arange(self.n_tokens) - np.repeat(self.begins, self.lengths)
+        self.learning = np.repeat(learn, self.lengths)
+        at = np.flatnonzero(self.place >= 1)
+        self.words, which = np.unique(flat[at], return_inverse=True)
+        self.places = [at]  # by size: where an n-gram ends
+        self.which = [which]  # which of the distinct ones ends there
+        self.own = [self._learnt(at, which)]  # how often training texts of the block hold each
+
+    def _learnt(self, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return np.bincount(which, self.learning[at]).astype(np.int64)
+
+    def grow(self, numbers: np.ndarray, order: int, buckets: int) -> None:
+        """Find the longer n-grams as paths of a trie, given the numbers, from 1, of its words.
+
+        Those of two words are sorted by bucket and numbers, longer ones by
+        the place of what they prolong and the last word's number.
+        """
+        by_number = np.argsort(numbers)
+        numbers = np.concatenate([[0], numbers[by_number]])
+        rank = np.empty(len(by_number), np.int64)
+        rank[by_number] = np.arange(1, len(numbers))
+        word = np.zeros(self.n_tokens, np.int64)  # 0: the start of a text
+        word[self.places[0]] = rank[self.which[0]]
+        self.edges: list[np.ndarray] = []  # by size from 2 on: where buckets begin
+        self.columns: list[np.ndarray] = []  # by size from 2 on: two columns that tell the n-grams
+        node = word
+        for size in range(2, order + 1):
+            at = np.flatnonzero(self.place >= size - 1)
+            keys, which = np.unique(node[at - 1] * len(numbers) + word[at], return_inverse=True)
+            before, last = keys // len(numbers), numbers[keys % len(numbers)]
+            if size == 2:
+                first = numbers[before]
+                own = _buckets(_mixed(_mixed(first.astype(np.uint64) * _STEP) + last.astype(np.uint64) * _STEP), buckets)
+                order_in = np.argsort(own, kind="stable")
+                where = np.empty(len(order_in), np.int64)
+                where[order_in] = np.arange(len(order_in))
+                which = where[which]
+                self.edges.append(_edges(own[order_in], buckets))
+                self.columns += [first[order_in], last[order_in]]
+            else:
+                self.edges.append(np.searchsorted(before, self.edges[-1]))
+                self.columns += [np.bincount(before, minlength=len(self.own[-1])), last]
             self.places.append(at)
-            self.grams.append(distinct)
             self.which.append(which)
-            self.own.append(np.bincount(which, learning[at], len(distinct)).astype(np.int64))
-        self.n_tokens = len(flat)
-
-
-def _edges(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted hashes go over from one bucket to the next."""
-    own = ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
+            self.own.append(self._learnt(at, which))
+            node = np.zeros(self.n_tokens, np.int64)
+            node[at] = which
+
+    def asked_words(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+        edges = _edges(_buckets(self.words, buckets), buckets)
+        for bucket in np.flatnonzero(np.diff(edges)).tolist():
+            part = slice(edges[bucket], edges[bucket + 1])
+            words = self.words[part]
+            yield bucket, _packed(words[:1], np.diff(words)), _packed(self.own[0][part])
+
+    def asked_grams(self) -> Iterator[tuple[int, bytes, bytes]]:
+        for bucket in np.flatnonzero(np.diff(self.edges[0])).tolist():
+            parts = [slice(edges[bucket], edges[bucket + 1]) for edges in self.edges]
+            columns = [np.diff(self.columns[0][parts[0]], prepend=0), self.columns[1][parts[0]]]
+            for i in range(1, len(parts)):
+                columns += [self.columns[2 * i][parts[i - 1]], self.columns[2 * i + 1][parts[i]]]
+            own = [own[part] for own, part in zip(self.own[1:], parts, strict=True)]
+            yield bucket, _packed(*columns), _packed(*own)
 
 
 def _packer(block_bytes: int):
@@ -158,48 +208,94 @@ def _packer(block_bytes: int):
     return packed
 
 
-def _opened(pack: bytes, order: int) -> tuple[list[tuple], Block]:
+def _opened(pack: bytes) -> tuple[list[tuple], Block]:
     rows = pickle.loads(zstandard.decompress(pack))
-    return rows, Block([r[3] for r in rows], np.array([r[1] for r in rows]), order)
+    return rows, Block([r[3] for r in rows], np.array([r[1] for r in rows]))
 
 
-def _asker(order: int, buckets: int):
+def _word_asker(buckets: int):
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, pack in zip(batch.column("block"), batch.column("pack"), strict=True):
-                block = _opened(pack.as_py(), order)[1]
-                out: list[tuple] = []
-                for size in range(1, order + 1):
-                    grams, own = block.grams[size - 1], block.own[size - 1]
-                    edges = _edges(grams, buckets)
-                    for bucket in np.flatnonzero(np.diff(edges)):
-                        part = slice(edges[bucket], edges[bucket + 1])
-                        out.append((bucket, size, number.as_py(), _coded(grams[part], _lowest(size, buckets)), _squeezed(own[part])))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                arrays = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-                if arrays:
-                    yield pa.RecordBatch.from_arrays(arrays, ["bucket", "size", "block", "grams", "counts"])
+                asks = list(zip(*_opened(pack.as_py())[1].asked_words(buckets), strict=True))
+                blocks = pa.array([number.as_py()] * len(asks[0]), pa.int64())
+                arrays = [pa.array(asks[0], pa.int64()), blocks, *(pa.array(c, pa.binary()) for c in asks[1:])]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "grams", "counts"])
+
+    return asked
+
+
+def _word_answerer(buckets: int):
+    def answered(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """Counts over all blocks, and numbers, for the words of one bucket. Frequent ones get low numbers."""
+        words = [np.cumsum(np.concatenate(_unpacked(grams)), dtype=np.uint64) for grams in frame["grams"]]
+        ends = np.cumsum([len(w) for w in words])[:-1]
+        _, which = np.unique(np.concatenate(words), return_inverse=True)
+        sums = np.bincount(which, np.concatenate([_unpacked(own)[0] for own in frame["counts"]])).astype(np.int64)
+        rank = np.empty(len(sums), np.int64)
+        rank[np.argsort(-sums, kind="stable")] = np.arange(len(sums))
+        first = np.arange(len(words)) == 0
+        return pd.DataFrame(
+            {
+                "block": frame["block"],
+                "size": 1,
+                "bucket": key[0],
+                "numbers": [_packed(part) for part in np.split(rank[which], ends)],
+                "counts": [_packed(part) for part in np.split(sums[which], ends)],
+                "kinds": np.where(first, (sums > 0).sum(), 0),
+                "total": np.where(first, sums.sum(), 0),
+            }
+        )
+
+    return answered
+
+
+def _told(answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of a block's words."""
+    answers = answers[answers["size"] == 1].sort_values("bucket")
+    numbers = [
+        _unpacked(ranks)[0].astype(np.int64) * buckets + bucket + 1
+        for bucket, ranks in zip(answers["bucket"], answers["numbers"], strict=True)
+    ]
+    return np.concatenate(numbers), np.concatenate([_unpacked(c)[0] for c in answers["counts"]]).astype(np.int64)
+
+
+def _gram_asker(order: int, buckets: int):
+    def asked(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for number, pack in zip(packs["block"], packs["pack"], strict=True):
+            block = _opened(pack)[1]
+            block.grow(_told(answers, buckets)[0], order, buckets)
+            out += [(bucket, number, grams, own) for bucket, grams, own in block.asked_grams()]
+        return pd.DataFrame(out, columns=["bucket", "block", "grams", "counts"])
 
     return asked
 
 
-def _answered(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all blocks for the n-grams of one size in one bucket."""
-    grams = [_decoded(coded) for coded in frame["grams"]]
-    lengths = [len(g) for g in grams]
-    _, which = np.unique(np.concatenate(grams), return_inverse=True)
-    del grams
-    sums = np.bincount(which, np.concatenate([_loosened(own) for own in frame["counts"]])).astype(np.int64)
-    parts = np.split(sums[which], np.cumsum(lengths)[:-1])
-    first = np.arange(len(parts)) == 0
+def _grams_answered(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts over all blocks for the longer n-grams of one bucket."""
+    tries = [_unpacked(grams) for grams in frame["grams"]]
+    own = [_unpacked(counts) for counts in frame["counts"]]
+    first = np.concatenate([np.cumsum(trie[0]) for trie in tries])
+    parts: list[list[np.ndarray]] = [[] for _ in tries]
+    node = first
+    for i in range(len(own[0])):
+        if i:
+            node = np.repeat(node, np.concatenate([trie[2 * i] for trie in tries]).astype(np.int64))
+        _, node = np.unique(_pairs(node, np.concatenate([trie[2 * i + 1] for trie in tries])), return_inverse=True)
+        sums = np.bincount(node, np.concatenate([counts[i] for counts in own])).astype(np.int64)
+        ends = np.cumsum([len(counts[i]) for counts in own])[:-1]
+        for part, counts in zip(parts, np.split(sums[node], ends), strict=True):
+            part.append(counts)
     return pd.DataFrame(
         {
             "block": frame["block"],
-            "size": key[1],
+            "size": 2,
             "bucket": key[0],
-            "counts": [_squeezed(part) for part in parts],
-            "kinds": np.where(first, (sums > 0).sum(), 0),
-            "total": np.where(first, sums.sum(), 0),
+            "numbers": None,
+            "counts": [_packed(*part) for part in parts],
+            "kinds": 0,
+            "total": 0,
         }
     )
 
@@ -250,16 +346,15 @@ class Automaton:
         return total
 
 
-def _scorer(order: int, tokens: int, kinds: int, starts: int, prior: float):
+def _scorer(order: int, buckets: int, tokens: int, kinds: int, starts: int, prior: float):
     def scored(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
-        answers = answers.sort_values(["size", "bucket"])
-        counts = [
-            np.concatenate([_loosened(c) for c in answers.loc[answers["size"] == size, "counts"]] or [np.empty(0, np.int64)])
-            for size in range(1, order + 1)
-        ]
+        numbers, words = _told(answers, buckets)
+        grams = [_unpacked(c) for c in answers[answers["size"] == 2].sort_values("bucket")["counts"]]
+        counts = [words, *(np.concatenate(parts).astype(np.int64) for parts in zip(*grams, strict=True))]
         for pack in packs["pack"]:
-            rows, block = _opened(pack, order)
+            rows, block = _opened(pack)
+            block.grow(numbers, order, buckets)
             automaton = Automaton(block, counts, tokens, kinds, starts, prior)
             for row, begin, length in zip(rows, block.begins.tolist(), block.lengths.tolist(), strict=True):
                 own = slice(begin + 1, begin + length)
@@ -296,7 +391,7 @@ def score(
 ) -> DataFrame:
     """Scores of every document under a model of those not held out.
 
-    Counting runs at once, scoring when the result is used.
+    Words are counted at once; n-grams are, and texts scored, when the result is used.
     """
     ship(docs.sparkSession)
     learns = F.coalesce(remainder(folds=folds) != held, F.lit(False))
@@ -310,9 +405,12 @@ def score(
     )
     packs = rows.mapInArrow(_packer(block_bytes), _PACK).withColumn("block", F.monotonically_increasing_id())
     packs = cut(packs)
-    asked = packs.mapInArrow(_asker(order, buckets), _ASKED)
-    answers = cut(asked.groupBy("bucket", "size").applyInPandas(_answered, _ANSWER))
-    kinds, tokens = answers.where(F.col("size") == 1).agg(F.sum("kinds"), F.sum("total")).first()
-    scorer = _scorer(order, int(tokens or 0), int(kinds or 0), int(starts or 0), prior)
-    pairs = packs.groupBy("block").cogroup(answers.groupBy("block"))
-    return pairs.applyInPandas(scorer, _SCORES)
+    asked = packs.mapInArrow(_word_asker(buckets), _ASKED)
+    answers = cut(asked.groupBy("bucket").applyInPandas(_word_answerer(buckets), _ANSWER))
+    kinds, tokens = answers.agg(F.sum("kinds"), F.sum("total")).first()
+    by_block = packs.groupBy("block")
+    if order > 1:
+        asked = by_block.cogroup(answers.groupBy("block")).applyInPandas(_gram_asker(order, buckets), _ASKED)
+        answers = answers.union(asked.groupBy("bucket").applyInPandas(_grams_answered, _ANSWER))
+    scorer = _scorer(order, buckets, int(tokens or 0), int(kinds or 0), int(starts or 0), prior)
+    return by_block.cogroup(answers.groupBy("block")).applyInPandas(scorer, _SCORES)

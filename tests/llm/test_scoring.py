@@ -2,9 +2,10 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from ledgerline.llm.scoring import score
+from ledgerline.llm.scoring import _packed, _pairs, _unpacked, score
 from tests.llm.cases import MEDIUM, SMALL, as_rows, documents, edge_docs, no_docs
 
 
@@ -97,3 +98,24 @@ def test_table_of_one_document(spark):
     docs = documents(spark, SMALL).where("doc_id = 3")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 3, 32.0))
+
+
+def test_pairs_whose_short_hashes_agree_are_counted_apart(spark):
+    # These pairs of words shared a hash of 37 bits, by which n-grams were once told apart.
+    rows = [(1, "w939 w445"), (3, "w386 w595"), (4, "w939 w445"), (5, "w423 w84"), (6, "w934 w336")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    agree([tuple(r) for r in score(docs).collect()], plain_scores(rows, 3, 32.0))
+
+
+def test_numbers_of_words_beyond_the_usual_stay_apart():
+    columns = [
+        np.array([], np.uint64),
+        np.array([0, 255, 256, 2**64 - 1], np.uint64),
+        np.arange(5_000, dtype=np.int64) * 2**33,
+    ]
+    back = _unpacked(_packed(*columns))
+    assert [c.tolist() for c in back] == [c.tolist() for c in columns]
+    high = np.array([2**40, 2**40, 0, 2**41], np.int64)
+    low = np.array([2**40, 0, 2**40, 0], np.int64)
+    assert np.argsort(_pairs(high, low)).tolist() == [2, 1, 0, 3]
+    assert len(set(_pairs(high, low).tolist())) == 4
