@@ -15,7 +15,7 @@ for the word, and adds up the weights.
 
 The automaton of a large corpus is too large to broadcast, and a text needs
 little of it. Texts are put into blocks of about 4 MB, runs of rows as they
-are read, each stored once. A block asks twice for counts, and brings along how
+are read, stored as tokens. A block asks twice for counts, and brings along how
 often its own training texts hold what it asks for. First it asks for its
 distinct words, by hash; the answer also numbers each word. Then it asks for
 its distinct longer n-grams, as a trie of word numbers cut by the first two
@@ -53,10 +53,10 @@ from ledgerline.llm.common import cut, ship, spaced_words
 
 BLOCK_BYTES, BLOCK_ROWS, BUCKET_BYTES = 4 << 20, 50_000, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-# Bytes above 127 alone are no UTF-8 text, so no word has these hashes' names.
-_START, _END = (xxhash.xxh3_64_intdigest(name) for name in (b"\xff start", b"\xff end"))
+# A byte above 127 alone is no UTF-8 text, so no word has this hash's name.
+_END = xxhash.xxh3_64_intdigest(b"\xff end")
 
-_PACK = "pack binary"
+_PACK = "pack binary, asks array<struct<bucket: bigint, grams: binary, counts: binary>>"
 _ASKED = "bucket bigint, block bigint, grams binary, counts binary"
 _ANSWER = "block bigint, size int, bucket bigint, numbers binary, counts binary, kinds bigint, total bigint"
 _SCORES = (
@@ -112,19 +112,24 @@ def _edges(own: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(own, np.arange(buckets + 1, dtype=np.uint64))
 
 
+def _split(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text with its start, sorted hashes of the distinct words, and which of them the tokens are."""
+    tokens = [[*map(xxhash.xxh3_64_intdigest, spaced_words(t)), _END] for t in texts]
+    lengths = np.array([len(t) for t in tokens])
+    flat = np.fromiter((h for t in tokens for h in t), np.uint64, int(lengths.sum()))
+    return lengths + 1, *np.unique(flat, return_inverse=True)
+
+
 class Block:
-    """Tokens of a block's texts, its distinct words by hash, and its distinct longer n-grams."""
-
-    def __init__(self, texts: list[bytes | None], learn: np.ndarray):
-        tokens = [[_START, *map(xxhash.xxh3_64_intdigest, spaced_words(t)), _END] for t in texts]
-        self.lengths = np.array([len(t) for t in tokens])
-        self.begins = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        flat = np.fromiter((h for t in tokens for h in t), np.uint64, int(self.lengths.sum()))
-        self.n_tokens = len(flat)
-        self.place = np.arange(self.n_tokens) - np.repeat(self.begins, self.lengths)
-        self.learning = np.repeat(learn, self.lengths)
+    """Tokens of a block's texts, as places among its distinct words, and its distinct n-grams."""
+
+    def __init__(self, lengths: np.ndarray, learn: np.ndarray, which: np.ndarray):
+        self.lengths = lengths
+        self.begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        self.n_tokens = int(lengths.sum())
+        self.place = np.arange(self.n_tokens) - np.repeat(self.begins, lengths)
+        self.learning = np.repeat(learn, lengths)
         at = np.flatnonzero(self.place >= 1)
-        self.words, which = np.unique(flat[at], return_inverse=True)
         self.places = [at]  # by size: where an n-gram ends
         self.which = [which]  # which of the distinct ones ends there
         self.own = [self._learnt(at, which)]  # how often training texts of the block hold each
@@ -169,12 +174,11 @@ class Block:
             node = np.zeros(self.n_tokens, np.int64)
             node[at] = which
 
-    def asked_words(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-        edges = _edges(_buckets(self.words, buckets), buckets)
+    def asked_words(self, words: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+        edges = _edges(_buckets(words, buckets), buckets)
         for bucket in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[bucket], edges[bucket + 1])
-            words = self.words[part]
-            yield bucket, _packed(words[:1], np.diff(words)), _packed(self.own[0][part])
+            yield bucket, _packed(words[part][:1], np.diff(words[part])), _packed(self.own[0][part])
 
     def asked_grams(self) -> Iterator[tuple[int, bytes, bytes]]:
         for bucket in np.flatnonzero(np.diff(self.edges[0])).tolist():
@@ -186,22 +190,32 @@ class Block:
             yield bucket, _packed(*columns), _packed(*own)
 
 
-def _packer(block_bytes: int):
+def _packer(block_bytes: int, buckets: int):
+    asks = pa.list_(pa.struct([("bucket", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]))
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of rows, doc_id, learns, held_out and text of each."""
-        rows, size = [], 0
+        """Runs of rows: doc_id, learns and held_out of each, the tokens of their texts, and what to ask for the words."""
+        rows, texts, size = [], [], 0
 
         def out() -> pa.RecordBatch:
-            pack = zstandard.compress(pickle.dumps(rows), 6)
-            return pa.RecordBatch.from_arrays([pa.array([pack], pa.binary())], ["pack"])
+            lengths, words, which = _split(texts)
+            block = Block(lengths, np.array([r[1] for r in rows]), which)
+            asked = [dict(zip(("bucket", "grams", "counts"), ask, strict=True)) for ask in block.asked_words(words, buckets)]
+            often = np.argsort(-np.bincount(which), kind="stable")
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            pack = pickle.dumps((zstandard.compress(pickle.dumps(rows)), _packed(lengths, often, rank[which])))
+            return pa.RecordBatch.from_arrays([pa.array([pack], pa.binary()), pa.array([asked], asks)], ["pack", "asks"])
 
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(4)), strict=True):
-                rows.append(tuple(value.as_py() for value in row))
-                size += len(rows[-1][3] or b"")
+                *row, text = (value.as_py() for value in row)
+                rows.append(tuple(row))
+                texts.append(text)
+                size += len(text or b"")
                 if size >= block_bytes or len(rows) >= BLOCK_ROWS:
                     yield out()
-                    rows, size = [], 0
+                    rows, texts, size = [], [], 0
         if rows:
             yield out()
 
@@ -209,20 +223,10 @@ def _packer(block_bytes: int):
 
 
 def _opened(pack: bytes) -> tuple[list[tuple], Block]:
-    rows = pickle.loads(zstandard.decompress(pack))
-    return rows, Block([r[3] for r in rows], np.array([r[1] for r in rows]))
-
-
-def _word_asker(buckets: int):
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, pack in zip(batch.column("block"), batch.column("pack"), strict=True):
-                asks = list(zip(*_opened(pack.as_py())[1].asked_words(buckets), strict=True))
-                blocks = pa.array([number.as_py()] * len(asks[0]), pa.int64())
-                arrays = [pa.array(asks[0], pa.int64()), blocks, *(pa.array(c, pa.binary()) for c in asks[1:])]
-                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "grams", "counts"])
-
-    return asked
+    rows, columns = pickle.loads(pack)
+    rows = pickle.loads(zstandard.decompress(rows))
+    lengths, often, ranks = (column.astype(np.int64) for column in _unpacked(columns))
+    return rows, Block(lengths, np.array([r[1] for r in rows]), often[ranks])
 
 
 def _word_answerer(buckets: int):
@@ -403,12 +407,12 @@ def score(
         F.coalesce(remainder(folds=folds) == held, F.lit(False)).alias("held_out"),
         F.col("text").cast("binary").alias("text"),
     )
-    packs = rows.mapInArrow(_packer(block_bytes), _PACK).withColumn("block", F.monotonically_increasing_id())
-    packs = cut(packs)
-    asked = packs.mapInArrow(_word_asker(buckets), _ASKED)
+    packs = rows.mapInArrow(_packer(block_bytes, buckets), _PACK)
+    packs = cut(packs.withColumn("block", F.monotonically_increasing_id()))
+    asked = packs.select("block", F.inline("asks"))
     answers = cut(asked.groupBy("bucket").applyInPandas(_word_answerer(buckets), _ANSWER))
     kinds, tokens = answers.agg(F.sum("kinds"), F.sum("total")).first()
-    by_block = packs.groupBy("block")
+    by_block = packs.select("block", "pack").groupBy("block")
     if order > 1:
         asked = by_block.cogroup(answers.groupBy("block")).applyInPandas(_gram_asker(order, buckets), _ASKED)
         answers = answers.union(asked.groupBy("bucket").applyInPandas(_grams_answered, _ANSWER))
