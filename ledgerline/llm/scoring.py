@@ -21,7 +21,8 @@ distinct words, by hash; the answer also numbers each word. Then it asks for
 its distinct longer n-grams, as a trie of word numbers cut by the first two
 words. Both go out in a row for each of the buckets that the words, or pairs
 of words, are spread over. A bucket adds up the blocks' counts and answers
-each block in the order it asked. So an n-gram, however frequent, crosses the
+each block in the order it asked. What follows a pair of very frequent words is
+dealt over several buckets by the third word. So an n-gram, however frequent, crosses the
 network once per block. The block then builds its part of the automaton and
 reads its texts. There an arc is found by the n-gram that a state's history
 and the word make, and a state by the history it stands for.
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, ship, spaced_words
 
-BLOCK_BYTES, BLOCK_ROWS, BUCKET_BYTES = 4 << 20, 50_000, 16 << 20
+BLOCK_BYTES, BLOCK_ROWS, BUCKET_BYTES, CROWD = 4 << 20, 50_000, 16 << 20, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # A byte above 127 alone is no UTF-8 text, so no word has this hash's name.
 _END = xxhash.xxh3_64_intdigest(b"\xff end")
@@ -134,19 +135,22 @@ class Block:
         self.which = [which]  # which of the distinct ones ends there
         self.own = [self._learnt(at, which)]  # how often training texts of the block hold each
 
-    def _learnt(self, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        return np.bincount(which, self.learning[at]).astype(np.int64)
+    def _learnt(self, at: np.ndarray, which: np.ndarray, distinct: int = 0) -> np.ndarray:
+        return np.bincount(which, self.learning[at], distinct).astype(np.int64)
 
-    def grow(self, numbers: np.ndarray, order: int, buckets: int) -> None:
-        """Find the longer n-grams as paths of a trie, given the numbers, from 1, of its words.
+    def grow(self, numbers: np.ndarray, counts: np.ndarray, order: int, buckets: int, crowd: int) -> None:
+        """Find the longer n-grams as paths of a trie, given the numbers, from 1, and counts of its words.
 
         Those of two words are sorted by bucket and numbers, longer ones by
-        the place of what they prolong and the last word's number.
+        the place of what they prolong and the last word's number. A pair of
+        words that both occur `crowd` times or more stands once for each piece
+        of what prolongs it; the first has its count.
         """
         by_number = np.argsort(numbers)
         numbers = np.concatenate([[0], numbers[by_number]])
         rank = np.empty(len(by_number), np.int64)
         rank[by_number] = np.arange(1, len(numbers))
+        times = np.concatenate([[counts.max(initial=0)], counts[by_number]]) // crowd
         word = np.zeros(self.n_tokens, np.int64)  # 0: the start of a text
         word[self.places[0]] = rank[self.which[0]]
         self.edges: list[np.ndarray] = []  # by size from 2 on: where buckets begin
@@ -154,25 +158,39 @@ class Block:
         node = word
         for size in range(2, order + 1):
             at = np.flatnonzero(self.place >= size - 1)
-            keys, which = np.unique(node[at - 1] * len(numbers) + word[at], return_inverse=True)
-            before, last = keys // len(numbers), numbers[keys % len(numbers)]
+            if size != 3:
+                prefix = node[at - 1]
             if size == 2:
-                first = numbers[before]
-                own = _buckets(_mixed(_mixed(first.astype(np.uint64) * _STEP) + last.astype(np.uint64) * _STEP), buckets)
-                order_in = np.argsort(own, kind="stable")
-                where = np.empty(len(order_in), np.int64)
-                where[order_in] = np.arange(len(order_in))
-                which = where[which]
-                self.edges.append(_edges(own[order_in], buckets))
-                self.columns += [first[order_in], last[order_in]]
+                pairs = prefix * len(numbers) + word[at]
+                longer = np.flatnonzero(self.place >= 2)
+                pieces = np.minimum(times[word[longer - 2]], times[word[longer - 1]]) + 1
+                piece = (_mixed(numbers[word[longer]].astype(np.uint64) * _STEP) % pieces.astype(np.uint64)).astype(np.int64)
+                apart = np.flatnonzero(piece) if order > 2 else longer[:0]
+                most = int(pieces.max(initial=1))
+                more = word[longer[apart] - 2] * len(numbers) + word[longer[apart] - 1]
+                keys, which = np.unique(np.concatenate([pairs * most, more * most + piece[apart]]), return_inverse=True)
+                first, last = numbers[keys // most // len(numbers)], numbers[keys // most % len(numbers)]
+                hashes = _mixed(_mixed(first.astype(np.uint64) * _STEP) + last.astype(np.uint64) * _STEP)
+                own = _buckets(_mixed((hashes + (keys % most).astype(np.uint64)) * _STEP), buckets)
+                sorting = np.argsort(own, kind="stable")
+                where = np.empty(len(sorting), np.int64)
+                where[sorting] = np.arange(len(sorting))
+                which, others = np.split(where[which], [len(at)])
+                self.edges.append(_edges(own[sorting], buckets))
+                self.columns += [first[sorting], last[sorting]]
             else:
+                keys, which = np.unique(prefix * len(numbers) + word[at], return_inverse=True)
+                before = keys // len(numbers)
                 self.edges.append(np.searchsorted(before, self.edges[-1]))
-                self.columns += [np.bincount(before, minlength=len(self.own[-1])), last]
+                self.columns += [np.bincount(before, minlength=len(self.own[-1])), numbers[keys % len(numbers)]]
             self.places.append(at)
             self.which.append(which)
-            self.own.append(self._learnt(at, which))
+            self.own.append(self._learnt(at, which, len(keys)))
             node = np.zeros(self.n_tokens, np.int64)
             node[at] = which
+            if size == 2:
+                prefix = node[longer - 1]
+                prefix[apart] = others
 
     def asked_words(self, words: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
         edges = _edges(_buckets(words, buckets), buckets)
@@ -264,12 +282,12 @@ def _told(answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate([_unpacked(c)[0] for c in answers["counts"]]).astype(np.int64)
 
 
-def _gram_asker(order: int, buckets: int):
+def _gram_asker(order: int, buckets: int, crowd: int):
     def asked(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, pack in zip(packs["block"], packs["pack"], strict=True):
             block = _opened(pack)[1]
-            block.grow(_told(answers, buckets)[0], order, buckets)
+            block.grow(*_told(answers, buckets), order, buckets, crowd)
             out += [(bucket, number, grams, own) for bucket, grams, own in block.asked_grams()]
         return pd.DataFrame(out, columns=["bucket", "block", "grams", "counts"])
 
@@ -350,7 +368,7 @@ class Automaton:
         return total
 
 
-def _scorer(order: int, buckets: int, tokens: int, kinds: int, starts: int, prior: float):
+def _scorer(order: int, buckets: int, crowd: int, tokens: int, kinds: int, starts: int, prior: float):
     def scored(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         numbers, words = _told(answers, buckets)
@@ -358,7 +376,7 @@ def _scorer(order: int, buckets: int, tokens: int, kinds: int, starts: int, prio
         counts = [words, *(np.concatenate(parts).astype(np.int64) for parts in zip(*grams, strict=True))]
         for pack in packs["pack"]:
             rows, block = _opened(pack)
-            block.grow(numbers, order, buckets)
+            block.grow(numbers, words, order, buckets, crowd)
             automaton = Automaton(block, counts, tokens, kinds, starts, prior)
             for row, begin, length in zip(rows, block.begins.tolist(), block.lengths.tolist(), strict=True):
                 own = slice(begin + 1, begin + length)
@@ -390,6 +408,7 @@ def score(
     prior: float = 32.0,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
+    crowd: int = CROWD,
     folds: int = 7,
     held: int = 2,
 ) -> DataFrame:
@@ -414,7 +433,7 @@ def score(
     kinds, tokens = answers.agg(F.sum("kinds"), F.sum("total")).first()
     by_block = packs.select("block", "pack").groupBy("block")
     if order > 1:
-        asked = by_block.cogroup(answers.groupBy("block")).applyInPandas(_gram_asker(order, buckets), _ASKED)
+        asked = by_block.cogroup(answers.groupBy("block")).applyInPandas(_gram_asker(order, buckets, crowd), _ASKED)
         answers = answers.union(asked.groupBy("bucket").applyInPandas(_grams_answered, _ANSWER))
-    scorer = _scorer(order, buckets, int(tokens or 0), int(kinds or 0), int(starts or 0), prior)
+    scorer = _scorer(order, buckets, crowd, int(tokens or 0), int(kinds or 0), int(starts or 0), prior)
     return by_block.cogroup(answers.groupBy("block")).applyInPandas(scorer, _SCORES)

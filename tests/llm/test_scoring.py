@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerline.llm.scoring import _packed, _pairs, _unpacked, score
+from ledgerline.llm.scoring import Block, _packed, _pairs, _split, _unpacked, score
 from tests.llm.cases import MEDIUM, SMALL, as_rows, documents, edge_docs, no_docs
 
 
@@ -119,3 +119,18 @@ def test_numbers_of_words_beyond_the_usual_stay_apart():
     low = np.array([2**40, 0, 2**40, 0], np.int64)
     assert np.argsort(_pairs(high, low)).tolist() == [2, 1, 0, 3]
     assert len(set(_pairs(high, low).tolist())) == 4
+
+
+def test_what_follows_a_frequent_pair_is_dealt_over_buckets(spark):
+    docs = spark.range(0, 4_000, 1, 8).selectExpr("id AS doc_id", "concat('in the w', id % 3000, ' in the w', id) AS text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for order in (3, 4):
+        found = score(docs, order=order, block_bytes=20_000, bucket_bytes=8_000, crowd=500)
+        agree([tuple(r) for r in found.collect()], plain_scores(rows, order, 32.0))
+    lengths, words, which = _split([b"in the w%d" % i for i in range(3_000)])
+    largest = []
+    for crowd in (10_000, 100):
+        block = Block(lengths, np.ones(3_000, bool), which)
+        block.grow(np.arange(1, len(words) + 1), np.bincount(which), 3, 64, crowd)
+        largest.append(max(np.diff(block.edges[1])))
+    assert largest[0] >= 3_000 and largest[1] < 1_000
